@@ -1,0 +1,4 @@
+"""Registry of the engine's own queries and their SQL oracles."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
