@@ -77,3 +77,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), epochs=1.5, cap=2.0).drop("source")
+
+
+def _op6_sql() -> str:
+    from .mixing import MIX_SQL
+
+    return MIX_SQL
+
+
+ORACLES["op6_mixing"] = _op6_sql()
