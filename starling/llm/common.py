@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,14 +71,15 @@ BITS = 24
 
 
 def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A fixed-size bit array (uint64 words) holding the 64-bit keys of a column; built by a grouped OR, at most 2^(BITS-6) rows reach the driver."""
-    slot = F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - BITS)
-    words = keys.select(F.shiftrightunsigned(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(_s & 63 as int))").alias("b")) if False else keys.select(slot.alias("_s")).selectExpr("shiftrightunsigned(_s, 6) AS w", "shiftleft(1L, CAST(_s & 63 AS INT)) AS b")
+    """A fixed-size bit array (uint64 words) of a column of evenly hashed longs; a grouped OR, so at most 2^(BITS-6) rows reach the driver."""
+    words = keys.select(F.shiftrightunsigned(F.col(column), 64 - BITS).alias("s")).selectExpr("shiftrightunsigned(s, 6) AS w", "shiftleft(1L, CAST(s & 63 AS INT)) AS b")
     out = np.zeros(1 << (BITS - 6), np.uint64)
-    for w, b in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator(prefetchPartitions=True):
-        out[w] = b & 0xFFFFFFFFFFFFFFFF
+    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        out[row.w] = row.b & 0xFFFFFFFFFFFFFFFF
     return out
 
 
-def nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key (uint64) may be in the filter."""
+    slot = keys >> np.uint64(64 - BITS)
+    return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)

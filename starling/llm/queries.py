@@ -93,3 +93,10 @@ def _op6_sql() -> str:
 
 
 ORACLES["op6_mixing"] = _op6_sql()
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .similarity import groups
+
+    return groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
