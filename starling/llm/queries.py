@@ -100,3 +100,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .similarity import groups
 
     return groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import RULES, judge
+
+    return judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
