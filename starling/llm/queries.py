@@ -107,3 +107,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlfilter import RULES, judge
 
     return judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
