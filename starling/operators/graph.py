@@ -15,7 +15,7 @@ from ..plans.checkpoint import written
 def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges with both ends among members (name)."""
     own = members.select("name").distinct()
-    return edges.join(own.withColumnRenamed("name", "src"), "src", "left_semi").join(own.withColumnRenamed("name", "dst"), "dst", "left_semi")
+    return edges.join(own.withColumnRenamed("name", "src"), "src", "left_semi").join(own.withColumnRenamed("name", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
 def touching(edges: DataFrame, members: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -32,7 +32,7 @@ def degree_filter(edges: DataFrame, least: int = 11) -> DataFrame:
     """Edges without ends of degree below `least`. Rows count, not weights; both ends count for user relations (0, 4, 5), the source for 2, none for 1 and 3; nodes that never count stay."""
     counted = edges.select(F.explode(F.when(F.col("rel").isin(0, 4, 5), F.array("src", "dst")).when(F.col("rel") == 2, F.array("src")).otherwise(F.array().cast("array<string>"))).alias("name"))
     low = counted.groupBy("name").agg(F.count("*").alias("d")).where(F.col("d") < least).select("name")
-    return edges.join(low.withColumnRenamed("name", "src"), "src", "left_anti").join(low.withColumnRenamed("name", "dst"), "dst", "left_anti")
+    return edges.join(low.withColumnRenamed("name", "src"), "src", "left_anti").join(low.withColumnRenamed("name", "dst"), "dst", "left_anti").select(*edges.columns)
 
 
 def top_edges(edges: DataFrame, k: int, keys: tuple[str, ...] = ("slice",)) -> DataFrame:

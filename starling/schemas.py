@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from enum import IntEnum
 
-from pyspark.sql import types as T
-
 
 class Relation(IntEnum):
     """Codes of edge files."""
@@ -27,18 +25,20 @@ class MapKind(IntEnum):
     HASHTAG = 3
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-_USER = "struct<id: bigint, screen_name: string, name: string, description: string, location: string, url: string, created_at: timestamp, verified: boolean, geo_enabled: boolean, lang: string, time_zone: string, utc_offset: int, friends_count: int, followers_count: int, favourites_count: int, statuses_count: int, listed_count: int>"
-_POST = f"id bigint, created_at timestamp, text string, truncated boolean, possibly_sensitive boolean, source string, retweet_count int, favourited_count int, favorited boolean, in_reply_to_status_id bigint, in_reply_to_user_id bigint, in_reply_to_screen_name string, hashtagEntities string, hashtagEntitiesArray array<string>, userMentionEntities string, userMentionEntitiesArray array<string>, urlEntities string, urlEntitiesArray array<string>, user {_USER}"
-_NESTED = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in _struct(_POST).fields)
-
-POST = _struct(f"{_POST}, retweeted_status struct<{_NESTED}>")
-EDGE = _struct("rel int, src string, dst string, weight bigint")
-EDGE_T = _struct("rel int, src string, dst string, bucket double, weight bigint")
-TWEET_EDGE = _struct("rel int, src string, dst string, t_src double, t_dst double")
-NODE_MAP = _struct("original string, node string, map_type int")
-MEMBERSHIP = _struct("graph string, resolution double, name string, type string, community bigint")
-MEMBERSHIP_T = _struct("name string, slice string, community bigint")
+#: Schemas are DDL texts, so that importing them needs no session.
+_USER_FIELDS = "id: bigint, screen_name: string, name: string, description: string, location: string, url: string, created_at: timestamp, verified: boolean, geo_enabled: boolean, lang: string, time_zone: string, utc_offset: int, friends_count: int, followers_count: int, favourites_count: int, statuses_count: int, listed_count: int"
+_POST_FIELDS = (
+    ("id", "bigint"), ("created_at", "timestamp"), ("text", "string"), ("truncated", "boolean"), ("possibly_sensitive", "boolean"), ("source", "string"),
+    ("retweet_count", "int"), ("favourited_count", "int"), ("favorited", "boolean"), ("in_reply_to_status_id", "bigint"), ("in_reply_to_user_id", "bigint"),
+    ("in_reply_to_screen_name", "string"), ("hashtagEntities", "string"), ("hashtagEntitiesArray", "array<string>"), ("userMentionEntities", "string"),
+    ("userMentionEntitiesArray", "array<string>"), ("urlEntities", "string"), ("urlEntitiesArray", "array<string>"), ("user", f"struct<{_USER_FIELDS}>"),
+)
+_NESTED = ", ".join(f"{name}: {kind}" for name, kind in _POST_FIELDS)
+
+POST = ", ".join(f"{name} {kind}" for name, kind in _POST_FIELDS) + f", retweeted_status struct<{_NESTED}>"
+EDGE = "rel int, src string, dst string, weight bigint"
+EDGE_T = "rel int, src string, dst string, bucket double, weight bigint"
+TWEET_EDGE = "rel int, src string, dst string, t_src double, t_dst double"
+NODE_MAP = "original string, node string, map_type int"
+MEMBERSHIP = "graph string, resolution double, name string, type string, community bigint"
+MEMBERSHIP_T = "name string, slice string, community bigint"

@@ -23,8 +23,7 @@ def posts(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
 def ejson_posts(spark: SparkSession, path: str) -> DataFrame:
     """Extended JSON, where times are {"$date": ...}."""
     instant = "struct<`$date`: string>"
-    ddl = schemas.POST.simpleString().removeprefix("struct<").removesuffix(">")
-    raw = ddl.replace("created_at:timestamp", f"created_at:{instant}")
+    raw = schemas.POST.replace("created_at timestamp", f"created_at {instant}").replace("created_at: timestamp", f"created_at: {instant}")
     df = spark.read.schema(raw).json(path)
     inner = F.col("retweeted_status").withField("created_at", ejson_date("retweeted_status.created_at")).withField("user", F.col("retweeted_status.user").withField("created_at", ejson_date("retweeted_status.user.created_at")))
     return df.withColumn("created_at", ejson_date("created_at")).withColumn("user", F.col("user").withField("created_at", ejson_date("user.created_at"))).withColumn("retweeted_status", F.when(F.col("retweeted_status").isNotNull(), inner))
@@ -62,8 +61,8 @@ def id_chunks(df: DataFrame, column: str, size: int) -> list[tuple[int, int]]:
 
 def sample(df: DataFrame, n: int, seed: int = 42, arrays: tuple[str, ...] = ()) -> DataFrame:
     """n random rows, drawn alike for a seed and row contents; null arrays become empty."""
-    order = F.xxhash64(F.lit(seed), F.to_json(F.struct("*")))
-    out = df.orderBy(order).limit(n)
+    drawn = df.withColumn("_order", F.xxhash64(F.lit(seed), F.to_json(F.struct("*"))))
+    out = drawn.orderBy("_order").limit(n).drop("_order")
     for a in arrays:
         out = out.withColumn(a, F.coalesce(F.col(a), F.array().cast(df.schema[a].dataType)))
     return out
