@@ -7,13 +7,14 @@ Sets that meet in a subset link if its size suffices for theirs, so nothing has
 to be looked up; in a bucket all links run over its smallest set.
 
 Large (heavy) sets are joined over inverted lists. In any order of all shingles,
-two sets within the threshold share one of their first d + 1; the order puts
-shingles that many documents hold last, so the lists to scan stay short, and
-only shingles that occur twice among these beginnings are kept. Lists are
-scanned from their most connected set (star), which finds groups of copies in a
-number of comparisons in proportion to their size; then all pairs of a list
-that no chain of links connects yet. Every candidate is compared exactly on its
-whole sets.
+two sets within the threshold share ``SHARED`` of their first d + ``SHARED``; the
+order puts shingles that many documents hold last, so the lists to scan stay
+short, and only shingles that occur twice among these beginnings are kept. First
+each set meets the most connected set of its lists (star), which finds groups of
+copies in comparisons in proportion to their size; then the pairs of a list
+that no chain of links connects yet, if they share enough entries. A candidate
+must pass a comparison of bitmaps, which rules out no true link, and is then
+compared exactly on its whole sets.
 
 The boundary between light and heavy sets is where the cost, summed over the
 histogram of set sizes, is least: subsets given out against list entries and
@@ -46,6 +47,8 @@ FREQUENT = 1 << 20
 LEAST_FREQUENT = 8
 #: Shingles a task gathers before it counts them.
 GATHER = 4_000_000
+#: Entries that a pair of heavy sets must share.
+SHARED = 4
 
 
 class Shingler:
@@ -119,6 +122,24 @@ class Rule:
         return self.den * common >= self.num * (a + b - common)
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """One bit for each residue of the members, at least twice as many bits as members."""
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(own & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_link(rule: Rule, a: int, b: int, x: np.ndarray, y: np.ndarray) -> bool:
+    """False only if the bitmaps show that too many members differ; a, b: sizes."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    common = -(-rule.num * (a + b) // (rule.num + rule.den))
+    return int(np.bitwise_count(x & ~y).sum()) <= a - common and int(np.bitwise_count(y & ~x).sum()) <= b - common
+
+
 def subset_names(own: np.ndarray, lack: int) -> list[np.ndarray]:
     """Names of the subsets without 0, 1, .. `lack` members."""
     parts = mix64(own + np.uint64(0x51ED2701))
@@ -163,13 +184,13 @@ def survey(texts: DataFrame, k: int) -> DataFrame:
 
 
 def beginnings(texts: DataFrame, k: int, rule: Rule, frequent: np.ndarray, light: int) -> DataFrame:
-    """(doc_id, n, name, lists, subsets, sizes): each document's set by name, its list entries or subsets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("lists", pa.list_(pa.int64())), ("subsets", pa.list_(pa.int64()))])
+    """(doc_id, n, name, lists, subsets, bitmap): each document's set by name, its list entries or subsets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("lists", pa.list_(pa.int64())), ("subsets", pa.list_(pa.int64())), ("bitmap", pa.binary())])
 
     def begun(batches):
         shingles = Shingler(k)
         for batch in batches:
-            sizes, names, lists, subsets = [], [], [], []
+            sizes, names, lists, subsets, maps = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingles(text)
                 n = len(own)
@@ -178,7 +199,7 @@ def beginnings(texts: DataFrame, k: int, rule: Rule, frequent: np.ndarray, light
                 entries, parts = own[:0], own[:0]
                 if n > light:
                     rare = own[~in_filter(frequent, own)]
-                    need = rule.missing(n) + 1
+                    need = rule.missing(n) + SHARED
                     entries = rare[:need]
                     if len(entries) < need:
                         entries = np.concatenate([entries, own[in_filter(frequent, own)][: need - len(entries)]])
@@ -188,10 +209,11 @@ def beginnings(texts: DataFrame, k: int, rule: Rule, frequent: np.ndarray, light
                     parts = np.concatenate(subset_names(own, rule.missing(n)))
                 lists.append(entries)
                 subsets.append(parts)
+                maps.append(bitmap(own) if len(entries) else None)
             flat = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))) for own in (lists, subsets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *flat], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *flat, pa.array(maps, pa.binary())], schema=schema)
 
-    return arrow_map(texts, begun, "doc_id long, n long, name long, lists array<long>, subsets array<long>")
+    return arrow_map(texts, begun, "doc_id long, n long, name long, lists array<long>, subsets array<long>, bitmap binary")
 
 
 def full_sets(texts: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
@@ -284,28 +306,50 @@ def heavy_links(texts: DataFrame, begun: DataFrame, nodes: DataFrame, k: int, ru
 
     some = arrow_map(begun.where(F.col("doc_id").isNotNull() & (F.size("lists") > 0)).select("name", "n", "lists"), kept, "name long, n long, entry long").distinct()
     lists = materialize(some.join(shared, "entry", "left_semi").join(nodes, ["name", "n"]).select("entry", "node", "n", "name"))
-    ids = lists.select("node", "name").distinct()
-    wanted = bit_filter(ids.select(F.xxhash64("node").alias("h")), "h")
-    sets = full_sets(texts.withColumn("h", F.xxhash64("doc_id")), k, wanted)
-    sets = materialize(sets.join(ids, (F.col("doc_id") == F.col("node")) & (sets["name"] == ids["name"])).select("node", "members").dropDuplicates(["node"]))
     lists = lists.drop("name")
+    own = begun.where(F.col("bitmap").isNotNull()).join(nodes.join(lists.select("node").distinct(), "node", "left_semi"), ["name", "n"]).where(F.col("doc_id") == F.col("node"))
+    maps = materialize(own.select("node", "n", "name", "bitmap").dropDuplicates(["node"]))
     fits = lambda x, y: (F.least(x, y) * rule.den >= F.greatest(x, y) * rule.num)
-    # Star: each list's sets against the one whose entries are shared most.
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    # Star: each set against the most connected of the sets that lead its lists.
     lengths = lists.groupBy("entry").agg(F.count("*").alias("c"))
     shares = lists.join(lengths, "entry").groupBy("node").agg(F.sum("c").alias("c"))
     tops = lists.join(shares, "node").groupBy("entry").agg(F.max(F.struct("c", "node", "n")).alias("top"))
-    star = lists.join(tops, "entry").where((F.col("node") != F.col("top.node")) & fits(F.col("n"), F.col("top.n")))
-    star = materialize(star.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct())
-    links = materialize(compared(star, sets, rule))
-    # What is left: pairs of a list that no chain of links connects.
+    star = lists.join(tops, "entry").where((F.col("node") != F.col("top.node")) & fits(F.col("n"), F.col("top.n"))).groupBy("node").agg(F.max("top").alias("top"))
+    links = materialize(verified(star.select(*pair(F.col("node"), F.col("top.node"))).distinct(), maps, texts, k, rule))
+    # What is left: pairs of a list that no chain of links connects. One of them at least is outside the part that holds most of the list.
     parts = components(links)
     lists = lists.join(parts, "node", "left").select("entry", "node", "n", F.coalesce("component", "node").alias("part"))
-    mixed = lists.groupBy("entry").agg(F.min("part").alias("x"), F.max("part").alias("y")).where(F.col("x") < F.col("y")).select("entry")
-    lists = lists.join(mixed, "entry", "left_semi")
+    major = lists.groupBy("entry", "part").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("p")).where(F.col("p") > 1).select("entry", F.col("m.part").alias("major"))
+    lists = materialize(lists.join(major, "entry"))
     other = lists.select("entry", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "part")))
-    rest = lists.join(other, "entry").where((F.col("node") < F.col("node2")) & (F.col("part") != F.col("part2")) & fits(F.col("n"), F.col("n2")))
-    rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return links.unionByName(compared(rest, sets, rule))
+    rest = lists.where(F.col("part") != F.col("major")).join(other, "entry").where((F.col("part") != F.col("part2")) & ((F.col("part2") == F.col("major")) | (F.col("node") < F.col("node2"))) & fits(F.col("n"), F.col("n2")))
+    enough = F.least(F.lit(SHARED), F.ceil(F.least("n", "n2") * rule.num / rule.den))
+    rest = rest.groupBy(*pair(F.col("node"), F.col("node2"))).agg(F.count("*").alias("c"), F.min(enough).alias("enough")).where(F.col("c") >= F.col("enough")).select("a", "b")
+    return links.unionByName(verified(rest, maps, texts, k, rule))
+
+
+def verified(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, rule: Rule) -> DataFrame:
+    """The pairs that link: those whose bitmaps allow it are compared on whole sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    side = lambda key, n, m: maps.select(F.col("node").alias(key), F.col("n").alias(n), F.col("bitmap").alias(m))
+    both = pairs.join(side("a", "n_a", "x"), "a").join(side("b", "n_b", "y"), "b").select("a", "b", "n_a", "n_b", "x", "y")
+
+    def allowed(batches):
+        for batch in batches:
+            keep = [may_link(rule, n, m, np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True)]
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
+
+    likely = materialize(arrow_map(both, allowed, "a long, b long"))
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = materialize(ends.join(maps.select("node", "name"), "node"))
+    if ids.isEmpty():
+        return likely
+    wanted = bit_filter(ids.select(F.xxhash64("node").alias("h")), "h")
+    sets = full_sets(texts.withColumn("h", F.xxhash64("doc_id")), k, wanted)
+    sets = sets.join(ids, (F.col("doc_id") == F.col("node")) & (sets["name"] == ids["name"])).select("node", "members").dropDuplicates(["node"])
+    return compared(likely, materialize(sets), rule)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
