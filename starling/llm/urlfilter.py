@@ -110,3 +110,36 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, **options) -> DataF
     verdict = F.coalesce("by_rule", F.when(F.col("blocked"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
+
+
+def judge_sql(rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 12, share: float = 0.5, floor: float = 0.5) -> str:
+    """The verdicts in SQL (DuckDB) over the view pages, the rounds written out one after another."""
+    cases = {"rule": "", "by_rule": ""}
+    for kind, text in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
+        name, _, tail = text.partition("/")
+        fits = f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{tail}')"
+        cases["rule"] += f" WHEN {fits} THEN '{text}'"
+        cases["by_rule"] += f" WHEN {fits} THEN '{kind}'"
+    steps = ["r0 AS (SELECT kind, host, seed, seed AS rank FROM seeds)"]
+    for k in range(rounds):
+        steps.append(
+            f"r{k + 1} AS (SELECT r.kind, r.host, r.seed, (1 - {damping}::DOUBLE) * r.seed + {damping}::DOUBLE * (coalesce(got, 0) + r.seed * coalesce(loose, 0)) AS rank FROM r{k} r"
+            f" LEFT JOIN (SELECT s.kind, s.dst AS host, sum(rank * s.share) AS got FROM r{k} x JOIN shares s ON x.kind = s.kind AND x.host = s.src GROUP BY ALL) g ON g.kind = r.kind AND g.host = r.host"
+            f" LEFT JOIN (SELECT x.kind, sum(rank) AS loose FROM r{k} x WHERE NOT EXISTS (SELECT 1 FROM shares s WHERE s.kind = x.kind AND s.src = x.host) GROUP BY ALL) l ON l.kind = r.kind)"
+        )
+    href = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)"""
+    return f"""
+WITH a AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+judged AS (SELECT page_id, html, host, path, CASE{cases["rule"]} END AS rule, CASE{cases["by_rule"]} END AS by_rule FROM b),
+edges AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{href}', 1)), '{UPPER}', '{LOWER}') AS dst FROM judged WHERE host <> '') WHERE src <> dst GROUP BY ALL),
+both_ways AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+shares AS (SELECT kind, src, dst, n::DOUBLE / sum(n) OVER (PARTITION BY kind, src) AS share FROM both_ways),
+h AS (SELECT host, CASE WHEN 2 * count(*) FILTER (by_rule = 'allow') > count(*) THEN 1.0::DOUBLE ELSE 0 END AS t, CASE WHEN 2 * count(*) FILTER (by_rule = 'block') > count(*) THEN 1.0::DOUBLE ELSE 0 END AS d FROM judged WHERE host <> '' GROUP BY host),
+z AS (SELECT sum(t) AS ts, sum(d) AS ds FROM h),
+own AS (SELECT 'trust' AS kind, host, CASE WHEN ts > 0 THEN t / ts ELSE 0 END AS seed FROM h, z UNION ALL SELECT 'distrust', host, CASE WHEN ds > 0 THEN d / ds ELSE 0 END FROM h, z
+  UNION ALL SELECT kind, src, 0 FROM shares UNION ALL SELECT kind, dst, 0 FROM shares),
+seeds AS (SELECT kind, host, max(seed) AS seed FROM own GROUP BY ALL), {", ".join(steps)},
+v AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS d, count(*) OVER () AS n FROM r{rounds} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN d > 0 AND d >= {share} * (t + d) AND d * n >= {floor} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN v ON v.host = j.host"""
