@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoint import written
+
 NOISE = -1
 
 
@@ -61,33 +63,31 @@ def similarity(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("resolution",)
     """
     if exclude_noise:
         a, b = (p.where(F.col("community") != NOISE) for p in (a, b))
+    # One pass: sums over label pairs that need no total, put together at the end. With n1 the size of l1, the sum of
+    # n * f(n1) over label pairs is the sum of n1 * f(n1) over labels.
     c = contingency(a, b, keys)
-    rows = c.groupBy(*keys, "l1").agg(F.sum("n").alias("n1"))
-    cols = c.groupBy(*keys, "l2").agg(F.sum("n").alias("n2"))
-    total = rows.groupBy(*keys).agg(F.sum("n1").alias("total"))
-    p = F.col("n") / F.col("total")
-    joint = c.join(rows, [*keys, "l1"]).join(cols, [*keys, "l2"]).join(total, list(keys))
-    mi = joint.groupBy(*keys).agg(F.sum(p * F.ln(F.col("n").cast("double") * F.col("total") / (F.col("n1").cast("double") * F.col("n2")))).alias("mi"), F.sum(_pairs(F.col("n"))).alias("s"), F.max("total").alias("total"))
-
-    def side(counts: DataFrame, n: str, h: str, s: str, k: str) -> DataFrame:
-        share = F.col(n) / F.col("total")
-        return counts.join(total, list(keys)).groupBy(*keys).agg((-F.sum(share * F.ln(share))).alias(h), F.sum(_pairs(F.col(n))).alias(s), F.count("*").alias(k))
-
-    out = mi.join(side(rows, "n1", "h1", "s1", "n_comms_1"), list(keys)).join(side(cols, "n2", "h2", "s2", "n_comms_2"), list(keys))
-    both = F.col("h1") + F.col("h2")
-    expected = F.col("s1") * F.col("s2") / _pairs(F.col("total"))
-    middle = (F.col("s1") + F.col("s2")) / 2
+    c = c.withColumn("n1", F.sum("n").over(Window.partitionBy(*keys, "l1"))).withColumn("n2", F.sum("n").over(Window.partitionBy(*keys, "l2")))
+    n, n1, n2 = (F.col(x).cast("double") for x in ("n", "n1", "n2"))
+    t = c.groupBy(*keys).agg(
+        F.sum("n").alias("total"), F.sum(n * F.ln(n)).alias("x"), F.sum(n * F.ln(n1)).alias("x1"), F.sum(n * F.ln(n2)).alias("x2"),
+        F.sum(n * (n - 1) / 2).alias("s"), F.sum(n * (n1 - 1) / 2).alias("s1"), F.sum(n * (n2 - 1) / 2).alias("s2"), F.sum(n / n1).alias("k1"), F.sum(n / n2).alias("k2"),
+    )
+    total = F.col("total").cast("double")
+    h1, h2 = (F.greatest(F.lit(0.0), F.ln(total) - F.col(x) / total) for x in ("x1", "x2"))
+    mi = (F.col("x") - F.col("x1") - F.col("x2")) / total + F.ln(total)
+    t = t.withColumns({"both": h1 + h2, "mi": F.greatest(F.lit(0.0), mi), "expected": F.col("s1") * F.col("s2") / _pairs(F.col("total")), "middle": (F.col("s1") + F.col("s2")) / 2})
+    nats = F.col("both") - 2 * F.col("mi")
     bits = F.lit(1.0) / F.ln(F.lit(2.0))
-    return out.select(
+    return t.select(
         *keys,
         F.col("total").alias("n_common"),
-        "n_comms_1",
-        "n_comms_2",
-        F.when(both == 0, 1.0).otherwise(2 * F.col("mi") / both).alias("nmi"),
-        F.when((middle == expected) | (F.col("total") < 2), 1.0).otherwise((F.col("s") - expected) / (middle - expected)).alias("ari"),
-        F.greatest(F.lit(0.0), both - 2 * F.col("mi")).alias("vi_nats"),
-        F.greatest(F.lit(0.0), (both - 2 * F.col("mi")) * bits).alias("vi_bits"),
-        (both * bits - 2 * F.col("mi")).alias("vi_mixed"),
+        F.round("k1").cast("long").alias("n_comms_1"),
+        F.round("k2").cast("long").alias("n_comms_2"),
+        F.when((F.round("k1") == 1) & (F.round("k2") == 1), 1.0).when(F.col("both") == 0, 1.0).otherwise(2 * F.col("mi") / F.col("both")).alias("nmi"),
+        F.when((F.col("total") < 2) | (F.col("middle") == F.col("expected")), 1.0).otherwise((F.col("s") - F.col("expected")) / (F.col("middle") - F.col("expected"))).alias("ari"),
+        F.greatest(F.lit(0.0), nats).alias("vi_nats"),
+        F.greatest(F.lit(0.0), nats * bits).alias("vi_bits"),
+        (F.col("both") * bits - 2 * F.col("mi")).alias("vi_mixed"),
     )
 
 
@@ -152,6 +152,7 @@ def pair_analysis(a: DataFrame, b: DataFrame, pair: str, min_size: int = 11, key
     a, b = (p.join(names, [*keys, "name"], "left_semi").select(*keys, "name", "community") for p in (a, b))
     if min_size > 1:
         a, b = collapse_small(a, min_size, keys), collapse_small(b, min_size, keys)
+    a, b = written(a), written(b)  # read three times each
     out = similarity(a, b, keys)
     for p, tag in ((a, "base"), (b, "aug")):
         sizes = p.groupBy(*keys, "community").agg(F.count("*").cast("double").alias("x"))

@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written once and read back; cuts lineage. The folder is spark.checkpoint.dir, or a temporary one where that is unset."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str = "plan") -> str:
+    """A fresh path in spark.checkpoint.dir, or in a temporary folder where that is unset."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='starling-')}")
         where = _own[0]
-    path = f"{where.rstrip('/')}/plan-{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once and read back; cuts lineage."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,8 +9,9 @@ from ..functions import scalar
 from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import stats, text
+from ..plans.checkpoint import new_path
 from ..schemas import Relation
-from ..sources import readers
+from ..sources import readers, sinks
 from .registry import query, rounded
 
 P = B.POSTS_SQL
@@ -219,3 +220,46 @@ SELECT l_returnflag AS tag, count(*) AS n, round(sum(CASE WHEN regexp_matches(l_
 def keyword_sum(spark, sf):
     hit = scalar.keyword_match("l_linestatus", ["o", "x"])
     return rounded(B.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("tag")).agg(F.count("*").alias("n"), F.sum(F.when(hit, F.col("l_quantity")).otherwise(0.0)).alias("matching")), "matching")
+
+
+@query(f"WITH {ALL_SQL} SELECT CAST(rel AS INTEGER) AS rel, src, dst, count(*) AS weight FROM raw GROUP BY ALL")
+def edge_file_round_trip(spark, sf):
+    """All relations written as headerless CSV and read by the tolerant edge reader."""
+    path = new_path(spark, "edges")
+    sinks.append_csv(E.edges(B.posts(spark, sf)), path)
+    return readers.edge_file(spark, path)
+
+
+@query(f"WITH {ALL_SQL} SELECT CAST(rel AS INTEGER) AS rel, src, dst, count(*) AS weight FROM raw WHERE rel = 2 GROUP BY ALL")
+def relation_partitions(spark, sf):
+    """Edges stored in a folder for each relation; reading one relation opens only its folder."""
+    path = new_path(spark, "relations")
+    sinks.by_relation(E.edges(B.posts(spark, sf)), path)
+    return spark.read.parquet(path).where(F.col("rel") == 2).select("rel", "src", "dst", "weight")
+
+
+@query(f"WITH {B.MEMBERSHIP_SQL} SELECT resolution, name, type, community FROM membership WHERE graph = 'R'")
+def partition_file_round_trip(spark, sf):
+    path = new_path(spark, "partition")
+    sinks.partition_table(B.graph(B.membership(spark, sf), "R"), [i / 10 for i in B.STEPS], path)
+    return readers.partition_file(spark, path)
+
+
+@query(f"WITH {P} SELECT DISTINCT 'h:' || t AS tag, t AS tag_text FROM (SELECT unnest(string_split(tags, '|')) AS t FROM posts)")
+def tag_dictionary(spark, sf):
+    path = new_path(spark, "map")
+    sinks.append_csv(E.node_map(B.posts(spark, sf)), path)
+    return readers.tag_dictionary(spark, path)
+
+
+@query("SELECT min(event_id) AS low, max(event_id) AS high, CAST(count(DISTINCT event_id // 1000) AS BIGINT) AS chunks FROM events")
+def id_chunks(spark, sf):
+    e = B.table(spark, sf, "events")
+    parts = readers.id_chunks(e, "event_id", 1000)
+    return spark.createDataFrame([(parts[0][0], parts[-1][1] - 1, len(parts))], "low long, high long, chunks long")
+
+
+@query()
+def sampled_posts(spark, sf):
+    """A seeded sample of exactly 100 posts."""
+    return readers.sample(B.posts(spark, sf), 100).select("id", "text")
