@@ -105,3 +105,9 @@ def report_name(c: Column | str) -> tuple[Column, Column]:
     """(resolution, community) out of candidate_res{r}_comm{c}.csv."""
     pattern = r"candidate_res(.+?)_comm(.+?)\.csv"
     return F.regexp_extract(col(c), pattern, 1), F.regexp_extract(col(c), pattern, 2)
+
+
+def surrogate(c: Column | str, unsigned: bool = False) -> Column:
+    """A 64-bit number for a node key, for joins on narrow columns; as decimal(20,0) if unsigned."""
+    h = F.xxhash64(col(c))
+    return F.when(h < 0, h.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(h.cast("decimal(20,0)")).cast("decimal(20,0)") if unsigned else h

@@ -117,3 +117,8 @@ def test_bonus_is_capped(spark):
 def test_tenure_breaks_on_gaps(spark):
     m = spark.createDataFrame([("a", "w1", 0), ("a", "w2", 0), ("a", "w4", 0), ("b", "w3", 1)], "name string, slice string, community long")
     assert [r[3] for r in rows(T.tenure(m))] == [1, 2, 1, 1]
+
+
+def test_surrogates_are_distinct_and_unsigned_on_demand(spark):
+    r = spark.range(200).select(scalar.surrogate(F.col("id").cast("string")).alias("s"), scalar.surrogate(F.col("id").cast("string"), True).alias("u")).collect()
+    assert len({x.s for x in r}) == 200 and all(int(x.u) == x.s % 2**64 for x in r)
