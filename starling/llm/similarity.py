@@ -7,14 +7,15 @@ Sets that meet in a subset link if its size suffices for theirs, so nothing has
 to be looked up; in a bucket all links run over its smallest set.
 
 Large (heavy) sets are joined over inverted lists. In any order of all shingles,
-two sets within the threshold share ``SHARED`` of their first d + ``SHARED``; the
-order puts shingles that many documents hold last, so the lists to scan stay
-short, and only shingles that occur twice among these beginnings are kept. First
-each set meets the most connected set of its lists (star), which finds groups of
+two sets within the threshold share one of their first d + 1; the order puts
+shingles that many documents hold last, so the lists to scan stay short, and
+only shingles that occur twice among these beginnings are kept. First each set
+meets a few well connected sets of its lists (stars), which finds groups of
 copies in comparisons in proportion to their size; then the pairs of a list
-that no chain of links connects yet, if they share enough entries. A candidate
-must pass a comparison of bitmaps, which rules out no true link, and is then
-compared exactly on its whole sets.
+that no chain of links connects yet, unless their signatures of 512 bits show
+that too many members differ. A candidate must pass a comparison of longer
+bitmaps too, which rules out no true link either, and is then compared exactly
+on its whole sets.
 
 The boundary between light and heavy sets is where the cost, summed over the
 histogram of set sizes, is least: subsets given out against list entries and
@@ -47,8 +48,9 @@ FREQUENT = 1 << 20
 LEAST_FREQUENT = 8
 #: Shingles a task gathers before it counts them.
 GATHER = 4_000_000
-#: Entries that a pair of heavy sets must share.
-SHARED = 4
+#: Longs in a signature, and stars besides the one around the most connected set.
+SIGNATURE = 8
+STARS = 4
 
 
 class Shingler:
@@ -130,6 +132,13 @@ def bitmap(own: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def signature(own: np.ndarray) -> list[int]:
+    """One bit of SIGNATURE longs for each residue of the members."""
+    out = np.zeros(64 * SIGNATURE, np.uint8)
+    out[(own % np.uint64(64 * SIGNATURE)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view("<i8").tolist()
+
+
 def may_link(rule: Rule, a: int, b: int, x: np.ndarray, y: np.ndarray) -> bool:
     """False only if the bitmaps show that too many members differ; a, b: sizes."""
     while len(x) > len(y):
@@ -184,13 +193,13 @@ def survey(texts: DataFrame, k: int) -> DataFrame:
 
 
 def beginnings(texts: DataFrame, k: int, rule: Rule, frequent: np.ndarray, light: int) -> DataFrame:
-    """(doc_id, n, name, lists, subsets, bitmap): each document's set by name, its list entries or subsets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("lists", pa.list_(pa.int64())), ("subsets", pa.list_(pa.int64())), ("bitmap", pa.binary())])
+    """(doc_id, n, name, lists, subsets, bitmap, sign): each document's set by name, its list entries or subsets."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("lists", pa.list_(pa.int64())), ("subsets", pa.list_(pa.int64())), ("bitmap", pa.binary()), ("sign", pa.list_(pa.int64()))])
 
     def begun(batches):
         shingles = Shingler(k)
         for batch in batches:
-            sizes, names, lists, subsets, maps = [], [], [], [], []
+            sizes, names, lists, subsets, maps, signs = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingles(text)
                 n = len(own)
@@ -199,7 +208,7 @@ def beginnings(texts: DataFrame, k: int, rule: Rule, frequent: np.ndarray, light
                 entries, parts = own[:0], own[:0]
                 if n > light:
                     rare = own[~in_filter(frequent, own)]
-                    need = rule.missing(n) + SHARED
+                    need = rule.missing(n) + 1
                     entries = rare[:need]
                     if len(entries) < need:
                         entries = np.concatenate([entries, own[in_filter(frequent, own)][: need - len(entries)]])
@@ -210,10 +219,11 @@ def beginnings(texts: DataFrame, k: int, rule: Rule, frequent: np.ndarray, light
                 lists.append(entries)
                 subsets.append(parts)
                 maps.append(bitmap(own) if len(entries) else None)
+                signs.append(signature(own) if len(entries) else None)
             flat = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))) for own in (lists, subsets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *flat, pa.array(maps, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *flat, pa.array(maps, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], schema=schema)
 
-    return arrow_map(texts, begun, "doc_id long, n long, name long, lists array<long>, subsets array<long>, bitmap binary")
+    return arrow_map(texts, begun, "doc_id long, n long, name long, lists array<long>, subsets array<long>, bitmap binary, sign array<long>")
 
 
 def full_sets(texts: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
@@ -294,39 +304,48 @@ def heavy_links(texts: DataFrame, begun: DataFrame, nodes: DataFrame, k: int, ru
     entries = begun.where(F.col("doc_id").isNotNull()).select("name", F.explode("lists").alias("entry"))
     shared = materialize(entries.groupBy("entry").agg(F.min("name").alias("x"), F.max("name").alias("y")).where(F.col("x") < F.col("y")).select("entry"))
     bits = bit_filter(shared, "entry")
-    schema = pa.schema([("name", pa.int64()), ("n", pa.int64()), ("entry", pa.int64())])
+    schema = pa.schema([("name", pa.int64()), ("n", pa.int64()), ("entry", pa.int64()), ("at", pa.int64())])
 
     def kept(batches):
         for batch in batches:
             lists = batch.column(2)
-            flat, rows = lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            at = np.arange(len(flat)) - (ends[:-1] - ends[0])[rows]
             hit = in_filter(bits, flat.view(np.uint64))
             rows = pa.array(rows[hit])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(flat[hit])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(flat[hit]), pa.array(at[hit])], schema=schema)
 
-    some = arrow_map(begun.where(F.col("doc_id").isNotNull() & (F.size("lists") > 0)).select("name", "n", "lists"), kept, "name long, n long, entry long").distinct()
-    lists = materialize(some.join(shared, "entry", "left_semi").join(nodes, ["name", "n"]).select("entry", "node", "n", "name"))
+    some = arrow_map(begun.where(F.col("doc_id").isNotNull() & (F.size("lists") > 0)).select("name", "n", "lists"), kept, "name long, n long, entry long, at long").distinct()
+    lists = materialize(some.join(shared, "entry", "left_semi").join(nodes, ["name", "n"]).select("entry", "at", "node", "n", "name"))
     lists = lists.drop("name")
     own = begun.where(F.col("bitmap").isNotNull()).join(nodes.join(lists.select("node").distinct(), "node", "left_semi"), ["name", "n"]).where(F.col("doc_id") == F.col("node"))
-    maps = materialize(own.select("node", "n", "name", "bitmap").dropDuplicates(["node"]))
-    fits = lambda x, y: (F.least(x, y) * rule.den >= F.greatest(x, y) * rule.num)
+    maps = materialize(own.select("node", "n", "name", "bitmap", "sign").dropDuplicates(["node"]))
+    # Sets of n and m members share `common` at least, so that one of the first n - common + 1 entries is shared.
+    common = lambda n, m: F.ceil(rule.num * (n + m) / (rule.num + rule.den))
+    fits = lambda n, m, at, at2: (F.least(n, m) * rule.den >= F.greatest(n, m) * rule.num) & (at <= n - common(n, m)) & (at2 <= m - common(n, m))
+    differ = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(SIGNATURE)), F.lit(0))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    # Star: each set against the most connected of the sets that lead its lists.
+    # Stars: each set against the most connected set that leads a list of it, and against others drawn among well connected ones.
     lengths = lists.groupBy("entry").agg(F.count("*").alias("c"))
     shares = lists.join(lengths, "entry").groupBy("node").agg(F.sum("c").alias("c"))
-    tops = lists.join(shares, "node").groupBy("entry").agg(F.max(F.struct("c", "node", "n")).alias("top"))
-    star = lists.join(tops, "entry").where((F.col("node") != F.col("top.node")) & fits(F.col("n"), F.col("top.n"))).groupBy("node").agg(F.max("top").alias("top"))
+    scored = lists.join(shares, "node")
+    lead = lambda k: F.struct(F.when(F.lit(k) == 0, F.col("c")).otherwise(F.floor(F.log2("c"))).alias("c"), F.xxhash64(F.lit(k), F.col("node")).alias("h"), "node", "n", "at")
+    tops = scored.groupBy("entry").agg(*(F.max(lead(k)).alias(f"t{k}") for k in range(STARS + 1)))
+    met = lists.join(tops, "entry").select("node", "n", "at", F.posexplode(F.array(*(f"t{k}" for k in range(STARS + 1)))).alias("k", "top"))
+    met = met.where((F.col("node") != F.col("top.node")) & fits(F.col("n"), F.col("top.n"), F.col("at"), F.col("top.at")))
+    star = met.groupBy("node", "k").agg(F.max("top").alias("top"))
     links = materialize(verified(star.select(*pair(F.col("node"), F.col("top.node"))).distinct(), maps, texts, k, rule))
     # What is left: pairs of a list that no chain of links connects. One of them at least is outside the part that holds most of the list.
     parts = components(links)
-    lists = lists.join(parts, "node", "left").select("entry", "node", "n", F.coalesce("component", "node").alias("part"))
+    lists = lists.join(parts, "node", "left").select("entry", "at", "node", "n", F.coalesce("component", "node").alias("part"))
     major = lists.groupBy("entry", "part").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("p")).where(F.col("p") > 1).select("entry", F.col("m.part").alias("major"))
-    lists = materialize(lists.join(major, "entry"))
-    other = lists.select("entry", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "part")))
-    rest = lists.where(F.col("part") != F.col("major")).join(other, "entry").where((F.col("part") != F.col("part2")) & ((F.col("part2") == F.col("major")) | (F.col("node") < F.col("node2"))) & fits(F.col("n"), F.col("n2")))
-    enough = F.least(F.lit(SHARED), F.ceil(F.least("n", "n2") * rule.num / rule.den))
-    rest = rest.groupBy(*pair(F.col("node"), F.col("node2"))).agg(F.count("*").alias("c"), F.min(enough).alias("enough")).where(F.col("c") >= F.col("enough")).select("a", "b")
-    return links.unionByName(verified(rest, maps, texts, k, rule))
+    lists = materialize(lists.join(major, "entry").join(maps.select("node", "sign"), "node"))
+    other = lists.select("entry", *(F.col(c).alias(f"{c}2") for c in ("at", "node", "n", "part", "sign")))
+    once = (F.col("part") != F.col("part2")) & ((F.col("part2") == F.col("major")) | (F.col("node") < F.col("node2")))
+    near = (differ("sign", "sign2") <= F.col("n") - common(F.col("n"), F.col("n2"))) & (differ("sign2", "sign") <= F.col("n2") - common(F.col("n"), F.col("n2")))
+    rest = lists.where(F.col("part") != F.col("major")).join(other, "entry").where(once & fits(F.col("n"), F.col("n2"), F.col("at"), F.col("at2")) & near)
+    return links.unionByName(verified(rest.select(*pair(F.col("node"), F.col("node2"))).distinct(), maps, texts, k, rule))
 
 
 def verified(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, rule: Rule) -> DataFrame:
