@@ -253,7 +253,7 @@ def templates(pages: DataFrame, least_pages: int = 8, most: float = 0.6) -> Data
     The lists are no longer than one page, as each of their tokens is on every page.
     """
     counts = pages.groupBy("host").agg(F.count("*").alias("n"))
-    found = tokens(pages).join(counts.where(F.col("n") >= least_pages), "host")
+    found = materialize(tokens(pages)).join(counts.where(F.col("n") >= least_pages), "host")
     # Equivalence classes: equal vectors. The root class is that of tokens which each page has once.
     classes = found.groupBy("host", "vector", "pages", "times", "n").agg(
         F.count_if(F.col("kind") == PATH).alias("elements"),
