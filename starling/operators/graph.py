@@ -78,11 +78,11 @@ def pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85, every: i
     return ranks.select("name", F.col("rank").alias("pagerank"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(name, component): the least name reachable, by label steps over neighbours and over labels; each round is written out."""
+def components(edges: DataFrame) -> DataFrame:
+    """(name, component): the least name reachable, by label steps over neighbours and over labels until no label moves; each round is written out."""
     both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = written(both.groupBy(F.col("src").alias("name")).agg(F.least("src", F.min("dst")).alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("dst") == F.col("name")).groupBy(F.col("src").alias("name")).agg(F.min("label").alias("near"))
         step = labels.join(near, "name").select("name", "label", F.least("label", "near").alias("next"))
         # A label that is itself a node with a smaller label: jump there.

@@ -54,6 +54,12 @@ def components(spark, sf):
     return G.components(g)
 
 
+@query()
+def components_whole(spark, sf):
+    """Over all mention edges; ``components`` keeps to a part of the users, as its SQL does."""
+    return G.components(E.edges(B.posts(spark, sf), [Relation.MENTION]))
+
+
 @query(f"WITH {RT}, m AS (SELECT max(weight) AS most FROM g) SELECT src, dst, weight, round(0.2 + 2.8 * weight / most, 6) AS width FROM g, m")
 def scaled_widths(spark, sf):
     return rounded(G.scaled_widths(retweets(spark, sf)), "width")

@@ -108,3 +108,23 @@ def test_incremental_keeps_labels(spark):
     got = C.incremental(spark.createDataFrame(e, "slice string, " + E), 0.5)
     second = {(r.name[0], r.community, r.tenure) for r in got.where("slice = 'w2'").collect()}
     assert second == {("a", 0, 2), ("b", 1, 2)}
+
+
+def test_components_of_all_mentions(spark):
+    from starling import bindings as B
+    from starling.operators import edges
+    from starling.queries import QUERIES
+    from starling.schemas import Relation
+
+    sf = "/root/testdata/sf0.001"
+    above: dict[str, str] = {}
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for r in edges.edges(B.posts(spark, sf), [Relation.MENTION]).select("src", "dst").distinct().collect():
+        a, b = sorted((root(r.src), root(r.dst)))
+        above[b] = a
+    assert rows(QUERIES["components_whole"](spark, sf)) == sorted((x, root(x)) for x in above)
