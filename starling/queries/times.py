@@ -88,7 +88,7 @@ def streaming_edges(spark, sf):
 @query()
 def leiden_incremental(spark, sf):
     g = E.edges(B.posts(spark, sf), [Relation.RETWEET, Relation.RESPONSE], method="week")
-    return C.incremental(T.weekly_slices(g), 0.3, 0.05, 0.5, max_slices=4)
+    return C.incremental(T.weekly_slices(g), 0.3, 0.05, 0.5)
 
 
 @query()

@@ -128,3 +128,12 @@ def test_components_of_all_mentions(spark):
         a, b = sorted((root(r.src), root(r.dst)))
         above[b] = a
     assert rows(QUERIES["components_whole"](spark, sf)) == sorted((x, root(x)) for x in above)
+
+
+def test_incremental_query_takes_every_week(spark):
+    from starling.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    weeks = {r.week for r in QUERIES["week_label"](spark, sf).select("week").distinct().collect()}
+    got = {r.slice for r in QUERIES["leiden_incremental"](spark, sf).select("slice").distinct().collect()}
+    assert len(weeks) > 4 and got == weeks
