@@ -101,11 +101,12 @@ DOT_SIGN = re.compile(r"(?i)[\x20]*[\[({<]{1,2}[\x20]*(?:dot|\.|punkt|point|punt
 #: Plain words stand for signs only where the whole reads as an address: name at domain dot ending.
 PLAIN_AT = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9_%+-]+(?:(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+|\.)[a-z0-9_%+-]+)*(?:[\x20]+at[\x20]+|@)[a-z0-9-]+(?:(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+|\.)[a-z0-9-]+)*(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+|\.)[a-z]{2,24}(?!\w)")
 PLAIN_SIGN = re.compile(r"(?i)[\x20]+(at|dot|punkt|point|punto)[\x20]+")
-#: A text with none of these has no at/dot disguise.
-TRACES = ("dot", "punkt", "point", "punto", "[", "{", "(at", "( at", "(@", "( @", "<at", "&#", "&co", "&pe", "%40", " @", "@ ", "arobase", "arroba", "klammeraffe")
-#: Number words of which a spelled number has one at least (leaving out, for each language, those that are also frequent parts of words).
-COMMON = ("zero", "two", "three", "four", "five", "seven", "eight", "nine", "null", "zwei", "zwo", "drei", "vier", "fünf", "fuenf", "sechs", "sieben", "acht", "neun", "zéro", "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf", "cero", "tres", "cuatro", "cinco", "siete", "ocho", "nueve", "one", "eins", "six", "seis")
-FOREIGN = re.compile(r"[ ­²³¹Ͱ-ԯԱ-֊ -⁯⁰-ₜ℀-↋−①-⓿　-。ﬀ-ﬆ﹒-～﻿\U0001d400-\U0001d7ff\U0001fbf0-\U0001fbf9]")
+#: Parts of the patterns above: a match of AT_SIGN or DOT_SIGN has one of these (or BRACKETED), an edit by PLAIN_SIGN one of the words.
+SIGN_PARTS = (" @", "@ ", "&#", "&commat;", "&period;", "%40", "arobase", "arroba", "klammeraffe")
+BRACKETED = re.compile(r"[\[({<][\x20]*(?:at|@|ät|arobase|arroba|dot|\.|punkt|point|punto)[\x20]*[\])}>]")
+DOT_WORDS = (" dot ", " punkt ", " point ", " punto ")
+AT_PART = re.compile(r" at +[a-z0-9-]+(?:\.[a-z0-9-]| +(?:dot|punkt|point|punto) )")
+WORD = re.compile(r"\w+")
 
 
 class Mapped:
@@ -154,9 +155,13 @@ def plain_form(c: str) -> str | None:
     return None if digit is None else str(digit)
 
 
+#: Every character that plain_form rewrites, and the two that patterns without case take for an i.
+FOREIGN = frozenset(c for c in map(chr, range(0x80, 0x20000)) if c in "ıİ" or plain_form(c) is not None)
+
+
 def look_alikes(m: Mapped) -> None:
     """Letters of a word are rewritten if all its letters then are ASCII, so that words of other scripts mostly stay."""
-    if not FOREIGN.search(m.text):
+    if FOREIGN.isdisjoint(m.text):
         return
     edits = []
     for i, c in enumerate(m.text):
@@ -214,17 +219,20 @@ def spelled_addresses(m: Mapped) -> None:
     m.rewrite(edits)
 
 
-WORD_ENDS = str.maketrans(dict.fromkeys("-,.()+", " "))
-
-
 def traces(text: str) -> bool:
-    """Whether the text may hold a disguise: a cheap test that misses none."""
-    if not text.isascii() and FOREIGN.search(text):
+    """Whether a transducer may change the text: as the first that does sees the source, each pattern is tried on it, behind parts that its matches must have."""
+    if not text.isascii() and not FOREIGN.isdisjoint(text):
         return True
     low = text.lower()
-    if any(t in low for t in TRACES) and (AT_SIGN.search(text) or DOT_SIGN.search(text) or PLAIN_SIGN.search(text) or DOTTED_WORDS.search(text)):
+    if (any(t in low for t in SIGN_PARTS) or BRACKETED.search(low)) and (AT_SIGN.search(text) or DOT_SIGN.search(text)):
+        return True
+    dots = sum(low.count(t) for t in DOT_WORDS)
+    if (dots and "@" in low or AT_PART.search(low)) and PLAIN_AT.search(text) or dots >= 3 and DOTTED_WORDS.search(text):
         return True
-    return any(w in low for w in COMMON) and len(NUMBERS.keys() & set(low.translate(WORD_ENDS).split())) >= 2
+    words = [w for w in WORD.findall(low) if w in NUMBERS]
+    kinds = len(set(words))
+    return (kinds >= 3 or kinds == 2 and len(words) >= 12) and SPELLED_RUN.search(text) is not None
+
 
 
 def disguised_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -108,3 +108,28 @@ def test_hysteresis_holds_between_thresholds():
     e = np.array([0, 0, 0, 10, 5, 4.6, 10, 1, 0, 4.6, 0, 0], float)
     assert audio.segments(e, audio.AudioConfig(high=0.6, low=0.4)) == [(3, 7)]
     assert audio.segments(np.ones(5), audio.AudioConfig()) == []
+
+
+DISGUISES = [
+    "jane.doe at example.com", "jane dot doe at example dot com", "max (ät) firma.de", "max < at > firma.de", "max@firma(.)de", "max@firma[ . ]de", "a{at}b{dot}org",
+    "a (  at  ) b.org", "a ((at)) b.org", "a arobase b.fr", "a Klammeraffe b.de", "a&#x40;b.org", "a&commat;b&period;org", "a%40b.org", "a @ b.org", "a@ b.org", "a@b punkt de", "a (aRROBA) b.es",
+    "at ١٩٢.١٦٨.١.١", "call +४९१५१२३४५६७८", "ip 10 dot 0 dot 0 dot 1", "a [poınt] b@c.de", "a@b[poınt]de", "a@b[DOT]ſe",
+    "tel:five one five 555 two three four five six seven!", "\"one\" 555-555 :two 555 three?", "uno un dos oh uno un dos oh uno un",
+]
+
+
+def test_the_prefilter_misses_no_disguise(monkeypatch):
+    rng = random.Random(8)
+    pieces = ["a", "jane.doe", " at ", " AT ", "(ät)", "< at >", "@", " @", "@ ", "example", ".com", "(.)", " dot ", "[ punkt ]", " de", "five", "Two ", "six-", ":", "!", " 12", "+", "١", "＠", "ı", "é", "\n", "&#46;", "oh ", "un "]
+    texts = DISGUISES + ["".join(rng.choices(pieces, k=14)) for _ in range(4000)]
+    with_it = [pii.find(t) for t in texts]
+    assert all(pii.traces(t) for t in DISGUISES[:22])
+    assert pii.find(DISGUISES[0])[1] == [(0, 0, 23)] and all(pii.find(DISGUISES[i])[1] for i in (2, 3, 4, 18, 19))
+    monkeypatch.setattr(pii, "traces", lambda text: True)
+    assert with_it == [pii.find(t) for t in texts]
+
+
+def test_foreign_characters_are_all_that_have_a_plain_form():
+    for i in range(0x80, 0x110000):
+        if pii.plain_form(chr(i)) is not None:
+            assert chr(i) in pii.FOREIGN, hex(i)
