@@ -4,12 +4,16 @@ Base spans come from plain patterns on the source. Disguised identifiers are
 found on a normalised copy: transducers replace look-alike characters, drop
 invisible ones, and rewrite spelled digits and at/dot disguises; each normalised
 character keeps the source span it came from, so a match maps back exactly.
-Only texts with a trace of a disguise are normalised, whole.
+Only texts with a trace of a disguise are normalised, whole. Parts of a disguised
+address are as long as addresses allow (64 and 63 characters, nine parts), and
+words of it lie at most eight blanks apart.
 
 Defined results: a null text is empty and has no spans; repeated rows give the
 same result each; offsets are code points, end exclusive; a disguised span that
-lies inside a base span of its kind is not added; an empty table gives no rows;
-other columns are ignored by ``scan`` and kept by ``redact``.
+lies inside a base span of its kind is not added; a text of any length is read
+whole, in time proportional to it; an empty table gives no rows; other columns,
+whatever their names, are ignored by ``scan`` and kept by ``redact``, which
+leaves null texts null.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) by start, then kind."""
     out = [(a, 0, b) for a, b in emails(text)]
     if DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(v := p.lstrip("0")) <= 3 and int(v or 0) <= 255 for p in m.groups())]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := only_digits(m.group())) <= 19 and luhn(d):
                 out.append((m.start(), 2, m.end()))
@@ -91,15 +96,22 @@ NUMBER_WORDS = {
 }
 NUMBERS = {w: str(i) for words in NUMBER_WORDS.values() for i, w in enumerate(words.split())} | {"oh": "0", "zwo": "2", "fuenf": "5", "cinco": "5"}
 SPELLED = "|".join(sorted(map(re.escape, NUMBERS), key=len, reverse=True))
+#: The patterns of disguises are linear in the text: parts have the lengths that identifiers can have, gaps are short, and a run of blanks is only looked at from its beginning.
+GAP = r"[\x20-]{1,3}"
 #: A run of at least three number words, maybe with digits, groups and a plus between.
-SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\x20-]+|\+[\x20]?)?(?:(?:(?:double|triple)[\x20-]+)?(?:{SPELLED}|[0-9]+)(?!\w)[\x20,.()-]{{0,3}}){{3,}}")
-SPELLED_WORD = re.compile(rf"(?i)(?:(double|triple)[\x20-]+)?(?<!\w)({SPELLED}|[0-9]+)(?!\w)|(plus)(?=[\x20-])")
+SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:plus{GAP}|\+[\x20]?)?(?:(?:(?:double|triple){GAP})?(?:{SPELLED}|[0-9]++)(?!\w)[\x20,.()-]{{0,3}}){{3,}}")
+SPELLED_WORD = re.compile(rf"(?i)(?:(double|triple){GAP})?(?<!\w)({SPELLED}|[0-9]++)(?!\w)|(plus)(?=[\x20-])")
 WORD_OF_NUMBER = re.compile(rf"(?i)(?<!\w)(?:{SPELLED})(?!\w)")
-DOTTED_WORDS = re.compile(rf"(?i)(?<!\w)(?:{SPELLED}|[0-9]+)(?:[\x20-]+(?:{SPELLED}|[0-9]+))*(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+(?:{SPELLED}|[0-9]+)(?:[\x20-]+(?:{SPELLED}|[0-9]+))*){{3}}(?!\w)")
-AT_SIGN = re.compile(r"(?i)[\x20]*[\[({<]{1,2}[\x20]*(?:at|@|ät|arobase|arroba)[\x20]*[\])}>]{1,2}[\x20]*|[\x20]+(?:arobase|arroba|klammeraffe)[\x20]+|&#0*64;|&#x0*40;|&commat;|%40|(?<=[\w])[\x20]+@[\x20]*(?=\w)|(?<=\w)@[\x20]+(?=\w)")
-DOT_SIGN = re.compile(r"(?i)[\x20]*[\[({<]{1,2}[\x20]*(?:dot|\.|punkt|point|punto)[\x20]*[\])}>]{1,2}[\x20]*|&#0*46;|&#x0*2e;|&period;")
+#: Four groups of one to three digits or number words.
+GROUP = rf"(?:{SPELLED}|[0-9]{{1,3}}+)(?:{GAP}(?:{SPELLED}|[0-9]{{1,3}}+)){{0,2}}"
+DOT_WORD = r"\x20{1,8}(?:dot|punkt|point|punto)\x20{1,8}"
+DOTTED_WORDS = re.compile(rf"(?i)(?<!\w){GROUP}(?:{DOT_WORD}{GROUP}){{3}}(?!\w)")
+BLANKS = r"(?:(?<!\x20)\x20*+)?"
+AT_SIGN = re.compile(rf"(?i){BLANKS}[\[({{<]{{1,2}}\x20*+(?:at|@|ät|arobase|arroba)\x20*+[\])}}>]{{1,2}}\x20*+|(?<!\x20)\x20++(?:arobase|arroba|klammeraffe)\x20++|&#0{{0,8}}64;|&#x0{{0,8}}40;|&commat;|%40|(?<=\w)\x20++@\x20*+(?=\w)|(?<=\w)@\x20++(?=\w)")
+DOT_SIGN = re.compile(rf"(?i){BLANKS}[\[({{<]{{1,2}}\x20*+(?:dot|\.|punkt|point|punto)\x20*+[\])}}>]{{1,2}}\x20*+|&#0{{0,8}}46;|&#x0{{0,8}}2e;|&period;")
 #: Plain words stand for signs only where the whole reads as an address: name at domain dot ending.
-PLAIN_AT = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9_%+-]+(?:(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+|\.)[a-z0-9_%+-]+)*(?:[\x20]+at[\x20]+|@)[a-z0-9-]+(?:(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+|\.)[a-z0-9-]+)*(?:[\x20]+(?:dot|punkt|point|punto)[\x20]+|\.)[a-z]{2,24}(?!\w)")
+DOT = rf"(?:{DOT_WORD}|\.)"
+PLAIN_AT = re.compile(rf"(?i)(?<![\w.%+-])[a-z0-9_%+-]{{1,64}}(?:{DOT}[a-z0-9_%+-]{{1,64}}){{0,8}}(?:\x20{{1,8}}at\x20{{1,8}}|@)[a-z0-9-]{{1,63}}(?:{DOT}[a-z0-9-]{{1,63}}){{0,8}}{DOT}[a-z]{{2,24}}(?!\w)")
 PLAIN_SIGN = re.compile(r"(?i)[\x20]+(at|dot|punkt|point|punto)[\x20]+")
 #: Parts of the patterns above: a match of AT_SIGN or DOT_SIGN has one of these (or BRACKETED), an edit by PLAIN_SIGN one of the words.
 SIGN_PARTS = (" @", "@ ", "&#", "&commat;", "&period;", "%40", "arobase", "arroba", "klammeraffe")
@@ -234,7 +246,6 @@ def traces(text: str) -> bool:
     return (kinds >= 3 or kinds == 2 and len(words) >= 12) and SPELLED_RUN.search(text) is not None
 
 
-
 def disguised_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the source that read as identifiers only after normalisation."""
     if not traces(text):
@@ -253,14 +264,20 @@ def disguised_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[i
             digits, (a, b) = only_digits(x.group()), m.source(x.start(), x.end())
             if 10 <= len(digits) <= 15 and not luhn_card(digits) and len(WORD_OF_NUMBER.findall(text[a:b])) >= 7:
                 found.append((x.start(), 3, x.end()))
-    out = set()
+    own: list[list[tuple[int, int]]] = [[(a, b) for a, k, b in base if k == kind] for kind in range(len(KINDS))]
+    out = []
     for start, kind, end in found:
         a, b = m.source(start, end)
-        if m.touched.isdisjoint(range(a, b)) or any(k == kind and s <= a and b <= e for s, k, e in base):
-            continue
-        out.add((a, kind, b))
+        near = bisect_right(own[kind], (a, len(text) + 1)) - 1  # base spans of a kind do not overlap: the last that begins at or before a
+        if not m.touched.isdisjoint(range(a, b)) and not (near >= 0 and b <= own[kind][near][1]):
+            out.append((a, kind, b))
     # Of spans of one kind that lie in one another, the longest.
-    return [x for x in sorted(out) if not any(y != x and y[1] == x[1] and y[0] <= x[0] and x[2] <= y[2] for y in out)]
+    kept, reach = [], [-1] * len(KINDS)
+    for a, kind, b in sorted(out, key=lambda x: (x[0], -x[2], x[1])):
+        if b > reach[kind]:
+            kept.append((a, kind, b))
+            reach[kind] = b
+    return sorted(kept)
 
 
 def luhn_card(digits: str) -> bool:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -133,3 +134,54 @@ def test_foreign_characters_are_all_that_have_a_plain_form():
     for i in range(0x80, 0x110000):
         if pii.plain_form(chr(i)) is not None:
             assert chr(i) in pii.FOREIGN, hex(i)
+
+
+def planted(rng):
+    """A text with one disguised identifier, made from a plain one: (text, kind, start, end)."""
+    kind = rng.choice(pii.KINDS)
+    words = dict(zip("0123456789", pii.NUMBER_WORDS[rng.choice(["en", "de", "es"])].split(), strict=True))
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in s)
+    if kind == "email":
+        name, host, end = (rng.choice(x) for x in (["ana.lopez", "kim_7", "j"], ["mail-box", "web"], ["org", "co.uk"]))
+        at = rng.choice([" at ", "[at]", " (at) ", "&#64;", "{AT}", " @ ", "%40"])
+        dot = rng.choice([" dot ", "[dot]", " (punkt) "]) if at not in (" @ ",) else "[dot]"
+        hidden = f"{name}{at}{host}{dot}" + end.replace(".", dot)
+    elif kind == "ip":
+        plain = ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        hidden = wide(plain) if rng.random() < 0.5 else " dot ".join(" ".join(words[d] for d in g) for g in plain.split("."))
+    elif kind == "card":
+        digits = "".join(rng.choice("0123456789") for _ in range(15))
+        digits += next(d for d in "0123456789" if pii.luhn(digits + d))
+        hidden = wide(digits) if rng.random() < 0.5 else "​".join(digits[i : i + 4] for i in range(0, 16, 4))
+    else:
+        digits = "4" + "".join(rng.choice("0123456789") for _ in range(10))
+        hidden = "+" + wide(digits) if rng.random() < 0.5 else "plus " + " ".join(words[d] for d in digits)
+    before = rng.choice(["", "Write to: ", "été, ", "x" * 50 + ", "])
+    return before + hidden + rng.choice(["", ", now", "\n"]), kind, len(before), len(before) + len(hidden)
+
+
+def test_planted_disguises_map_back():
+    rng = random.Random(11)
+    for _ in range(1500):
+        text, kind, a, b = planted(rng)
+        spans = [(pii.KINDS[k], s, e) for s, k, e in pii.find(text)[1]]
+        assert (kind, a, b) in spans, (text, spans)
+
+
+N = 100_000
+
+
+@pytest.mark.parametrize("text", [
+    "( " + " " * N + "x", "a" + " " * N + "@" + " " * N, "0" * N + ".1.1.1", "1." + "0" * 5000 + ".1.1", "1" * N, "1" * N + "x", "12 " * N, "one two three " * (N // 14),
+    "one dot " * (N // 8), "a at " * (N // 5), "a dot " * (N // 6), "a at b" + " dot b" * (N // 6), "a." * N, "(" * N, "(at" * N, "+1 (" * N, "１２ " * N, "１.1.1.1 " * (N // 8), "a [at] b.de " * (N // 12),
+], ids=range(19))
+def test_time_is_linear(text):
+    began = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - began < 5  # a second on an idle machine; the square of the length would be minutes
+    assert pii.base_spans(text[:1500]) == brute(text[:1500])
+
+
+def test_long_digits_are_read_as_numbers():
+    assert pii.base_spans("0" * 5000 + "1.2.3." + "0" * 5000) == [(0, 1, 10006)]
+    assert pii.base_spans("1" + "0" * 5000 + ".2.3.4") == []
