@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str = "plan") -> str:
-    """A fresh path in spark.checkpoint.dir, or in a temporary folder where that is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A fresh path in spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; on a cluster that is an error."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='starling-')}")
         where = _own[0]
