@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoint import new_path
+
 #: Rows a Python worker gets at once; with long texts a batch also stays under BATCH_BYTES where Spark has that limit.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    global _own_dir
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _own_dir is None:
-        _own_dir = f"file://{tempfile.mkdtemp(prefix='starling-')}"
-    return _own_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/starling-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "starling")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -83,3 +70,24 @@ def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key (uint64) may be in the filter."""
     slot = keys >> np.uint64(64 - BITS)
     return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+#: A key is heavy if it has more than this share of the rows, so at most its inverse are.
+HEAVY = 1 / 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined to right (unique, not null by key) on the key, inner: the rows of heavy keys meet a broadcast of at most 1 / HEAVY rows, the others are shuffled."""
+    least = max(1, int(left.count() * HEAVY))
+    heavy = materialize(left.groupBy(key).agg(F.count("*").alias("_c")).where(F.col("_c") > least).select(key))
+    some = materialize(right.join(F.broadcast(heavy), key, "left_semi"))
+    rest = left.join(F.broadcast(heavy), key, "left_anti").join(right.join(F.broadcast(heavy), key, "left_anti"), key)
+    return left.join(F.broadcast(some), key).unionByName(rest)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link; component is the least node reachable and is itself left out."""
     edges = materialize(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where(F.col("y") > F.col("x")).join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
@@ -25,7 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         pairs = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = materialize(pairs.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == before:
+        if now == before:  # the links form stars around the least nodes, and stay as they are
             break
         before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -8,25 +8,27 @@ to be looked up; in a bucket all links run over its smallest set.
 
 Large (heavy) sets are joined over inverted lists. In any order of all shingles,
 two sets within the threshold share one of their first d + 1; the order puts
-shingles that many documents hold last, so the lists to scan stay short, and
-only shingles that occur twice among these beginnings are kept. First each set
-meets a few well connected sets of its lists (stars), which finds groups of
-copies in comparisons in proportion to their size; then the pairs of a list
-that no chain of links connects yet, unless their signatures of 512 bits show
-that too many members differ. A candidate must pass a comparison of longer
-bitmaps too, which rules out no true link either, and is then compared exactly
-on its whole sets.
+shingles that many documents hold last, so most lists are short. The lists of
+other shingles are scanned in one pass over sorted entries: short lists give
+their pairs at once (at most SHORT of them for each row). In long lists each
+set first meets a few well connected sets (stars), which finds groups of copies
+in comparisons in proportion to their size; then the pairs of a list that no
+chain of links connects yet. A pair must fit by size and places in its lists,
+by a signature of 512 bits and by longer bitmaps, none of which rules out a true
+link, and is then compared exactly on its whole sets.
 
 The boundary between light and heavy sets is where the cost, summed over the
 histogram of set sizes, is least: subsets given out against list entries and
 their comparisons. Sets are 64-bit fingerprints of shingles. Equal sets are one
-node, named by their least id.
+node, known by a fingerprint of the whole set; ids only matter for the output.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing; a text of fewer words than a shingle is one shingle; rows with a
-null id link with nothing and have a null component; repeated rows and ids are
-each returned; an empty table gives no rows; other columns are ignored by
-``groups`` and kept by ``deduplicated``.
+null id link with nothing and have a null component; repeated rows are each
+returned, and rows that share an id but not their text are judged by their own
+text, so they can have different components; an empty table gives no rows;
+other columns, whatever their names, are ignored by ``groups`` and kept by
+``deduplicated``, of whose repeated rows (same id and text) one stays.
 """
 
 from __future__ import annotations
@@ -35,11 +37,12 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bit_filter, in_filter, materialize, mix64
+from .common import arrow_map, bit_filter, fresh, in_filter, join_hot, materialize, mix64
 from .components import components
 
 CACHE_WORDS = 400_000
@@ -51,6 +54,8 @@ GATHER = 4_000_000
 #: Longs in a signature, and stars besides the one around the most connected set.
 SIGNATURE = 8
 STARS = 4
+#: Lists of up to this many sets give out their pairs while they are scanned.
+SHORT = 16
 
 
 class Shingler:
@@ -192,38 +197,46 @@ def survey(texts: DataFrame, k: int) -> DataFrame:
     return arrow_map(texts, surveyed, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where((F.col("kind") != 1) | (F.col("n") >= LEAST_FREQUENT))
 
 
+BEGUN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("lists", pa.list_(pa.int64())), ("quiet", pa.int64()), ("subsets", pa.list_(pa.int64())), ("bitmap", pa.binary()), ("sign", pa.list_(pa.int64()))])
+BEGUN_SQL = "doc_id long, key long, n long, name long, lists array<long>, quiet long, subsets array<long>, bitmap binary, sign array<long>"
+
+
 def beginnings(texts: DataFrame, k: int, rule: Rule, frequent: np.ndarray, light: int) -> DataFrame:
-    """(doc_id, n, name, lists, subsets, bitmap, sign): each document's set by name, its list entries or subsets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("lists", pa.list_(pa.int64())), ("subsets", pa.list_(pa.int64())), ("bitmap", pa.binary()), ("sign", pa.list_(pa.int64()))])
+    """Each document's set by name; where a task meets a set first, also its list entries (the first `quiet` of them are not frequent) or subsets, and what candidates are compared by."""
+
+    def flat(own: list[np.ndarray]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)))
 
     def begun(batches):
-        shingles = Shingler(k)
+        shingles, met = Shingler(k), set()
         for batch in batches:
-            sizes, names, lists, subsets, maps, signs = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            sizes, names, lists, quiet, subsets, maps, signs = [], [], [], [], [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = shingles(text)
                 n = len(own)
+                name = name_of(own) if n else 0
+                entries, parts, rare = own[:0], own[:0], 0
+                if doc is not None and name not in met:
+                    met.add(name)
+                    near = rule.missing(n) or rule.largest(n) > n  # else only equal sets link
+                    if n > light and near:
+                        often = in_filter(frequent, own)
+                        need = rule.missing(n) + 1
+                        entries = own[~often][:need]
+                        rare = len(entries)
+                        entries = np.concatenate([entries, own[often][: need - rare]])
+                    if n and n <= rule.largest(light) and near:
+                        parts = np.concatenate(subset_names(own, rule.missing(n)))
                 sizes.append(n)
-                names.append(name_of(own) if n else 0)
-                entries, parts = own[:0], own[:0]
-                if n > light:
-                    rare = own[~in_filter(frequent, own)]
-                    need = rule.missing(n) + 1
-                    entries = rare[:need]
-                    if len(entries) < need:
-                        entries = np.concatenate([entries, own[in_filter(frequent, own)][: need - len(entries)]])
-                    if rule.missing(n) == 0 and rule.largest(n) == n:
-                        entries = own[:0]  # only equal sets link
-                if n and n <= rule.largest(light) and (rule.missing(n) or rule.largest(n) > n):
-                    parts = np.concatenate(subset_names(own, rule.missing(n)))
+                names.append(name)
                 lists.append(entries)
+                quiet.append(rare)
                 subsets.append(parts)
                 maps.append(bitmap(own) if len(entries) else None)
                 signs.append(signature(own) if len(entries) else None)
-            flat = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))) for own in (lists, subsets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *flat, pa.array(maps, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), flat(lists), pa.array(quiet, pa.int64()), flat(subsets), pa.array(maps, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], schema=BEGUN)
 
-    return arrow_map(texts, begun, "doc_id long, n long, name long, lists array<long>, subsets array<long>, bitmap binary, sign array<long>")
+    return arrow_map(texts, begun, BEGUN_SQL)
 
 
 def full_sets(texts: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
@@ -233,19 +246,18 @@ def full_sets(texts: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
     def sets(batches):
         shingles = Shingler(k)
         for batch in batches:
-            hit = in_filter(wanted, batch.column(2).to_numpy().view(np.uint64))
-            batch = batch.filter(pa.array(hit))
+            batch = batch.filter(pa.array(in_filter(wanted, batch.column(2).to_numpy().view(np.uint64))))
             own = [shingles(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name_of(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], schema=schema)
 
-    return arrow_map(texts, sets, "doc_id long, name long, members binary")
+    return arrow_map(texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where(F.col("doc_id").isNotNull()), sets, "doc_id long, name long, members binary")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link, compared on whole sets (node, members)."""
+    """The pairs (a, b) that link, compared on whole sets (name, members)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("own"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("other"))
+    left = sets.select(F.col("name").alias("a"), F.col("members").alias("own"))
+    right = sets.select(F.col("name").alias("b"), F.col("members").alias("other"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "own", "other")
 
     def linked(batches):
@@ -260,12 +272,12 @@ def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return arrow_map(both, linked, "a long, b long")
 
 
-def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
-    spark, rule = docs.sparkSession, Rule(num, den)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): each row of docs (doc_id, key: a hash of its text, n, name), and for each set (name) the class it is in (a name)."""
+    rule = Rule(num, den)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
     # The order of shingles and the boundary.
-    seen = materialize(survey(texts, k))
+    seen = materialize(survey(texts.select("doc_id", "text"), k))
     sizes = {r.key: r.n for r in seen.where((F.col("kind") == 0) & (F.col("key") < 200)).collect()}
     again = seen.where(F.col("kind") == 1)
     steps = {r.p: r.c for r in again.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("c")).collect()}
@@ -273,86 +285,156 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     while least > 0 and many + steps.get(least - 1, 0) <= FREQUENT:
         least -= 1
         many += steps.get(least, 0)
-    totals = seen.where(F.col("kind") > 0).groupBy("kind").agg(F.sum("n").alias("n")).collect()
-    totals = {r.kind: r.n for r in totals}
+    totals = {r.kind: r.n for r in seen.where(F.col("kind") > 0).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     light = rule.boundary(sizes, totals.get(1, 0) / max(1, totals.get(2, 0)))
     frequent = bit_filter(again.where(F.col("n") >= 2**least), "key")
-    # One node for each different set.
     begun = materialize(beginnings(texts, k, rule, frequent, light))
-    nodes = begun.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("name", "n").agg(F.min("doc_id").alias("node"))
-    links = light_links(begun, nodes, rule, light).unionByName(heavy_links(texts, begun, nodes, k, rule))
-    found = components(links)
-    nodes = nodes.join(found, "node", "left").select("name", "n", F.coalesce("component", "node").alias("component_id"))
-    out = begun.where(F.col("doc_id").isNotNull()).select("doc_id", "n", "name").join(nodes, ["name", "n"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.unionByName(begun.where(F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    links = light_links(begun, rule).unionByName(heavy_links(texts, begun, k, rule))
+    found = materialize(components(links))
+    sets = found.select(F.col("node").alias("name"), F.col("component").alias("class")).unionByName(found.select(F.col("component").alias("name"), F.col("component").alias("class")).distinct())
+    return begun.select("doc_id", "key", "n", "name"), sets
+
+
+def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+    rows, sets = classes(docs, k, num, den)
+    real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    least = rows.where(real).groupBy("name").agg(F.min("doc_id").alias("least")).join(sets, "name", "left").withColumn("class", F.coalesce("class", "name"))
+    best = least.groupBy("class").agg(F.min("least").alias("component_id"))
+    known = least.join(best, "class").select("name", "component_id")
+    out = join_hot(rows.where(real), known, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # Empty sets are their own components.
+    return out.unionByName(rows.where(~real).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def light_links(begun: DataFrame, nodes: DataFrame, rule: Rule, light: int) -> DataFrame:
+def light_links(begun: DataFrame, rule: Rule) -> DataFrame:
     own = begun.where(F.size("subsets") > 0).select("name", "n", F.posexplode("subsets").alias("at", "part"))
     lack = F.when(F.col("at") == 0, 0).when(F.col("at") <= F.col("n"), 1).otherwise(2)
     own = own.select("name", "n", "part", (F.col("n") - lack).alias("size")).distinct()
     first = own.groupBy("part", "size").agg(F.min(F.struct("n", "name")).alias("first"), F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
     met = own.join(first, ["part", "size"]).where((F.col("name") != F.col("first.name")) & (rule.den * F.col("size") >= rule.num * (F.col("n") + F.col("first.n") - F.col("size"))))
-    pairs = met.select("name", "n", F.col("first.name").alias("name2"), F.col("first.n").alias("n2")).distinct()
-    ends = nodes.select(F.col("name").alias("name2"), F.col("n").alias("n2"), F.col("node").alias("b"))
-    return pairs.join(nodes.withColumnRenamed("node", "a"), ["name", "n"]).join(ends, ["name2", "n2"]).select("a", "b")
-
-
-def heavy_links(texts: DataFrame, begun: DataFrame, nodes: DataFrame, k: int, rule: Rule) -> DataFrame:
-    # Entries that two different sets have.
-    entries = begun.where(F.col("doc_id").isNotNull()).select("name", F.explode("lists").alias("entry"))
-    shared = materialize(entries.groupBy("entry").agg(F.min("name").alias("x"), F.max("name").alias("y")).where(F.col("x") < F.col("y")).select("entry"))
-    bits = bit_filter(shared, "entry")
-    schema = pa.schema([("name", pa.int64()), ("n", pa.int64()), ("entry", pa.int64()), ("at", pa.int64())])
-
-    def kept(batches):
+    return met.select(F.col("name").alias("a"), F.col("first.name").alias("b")).distinct()
+
+
+SCANNED = pa.schema([("a", pa.int64()), ("n_a", pa.int64()), ("b", pa.int64()), ("n_b", pa.int64()), ("entry", pa.int64()), ("at", pa.int64())])
+
+
+def scan(entries: DataFrame, rule: Rule) -> DataFrame:
+    """Inverted lists (entry, name, n, at), scanned in order of their entries: pairs (a, b) of short lists, and the rows (a, entry, at) of long ones."""
+
+    def fits(n, m, at, at2):
+        common = -(-rule.num * (n + m) // (rule.num + rule.den))
+        return (np.minimum(n, m) * rule.den >= np.maximum(n, m) * rule.num) & (at <= n - common) & (at2 <= m - common)
+
+    def taken(x: np.ndarray, known_long: list[int]):
+        """x: rows of whole lists, or of lists that are known as long."""
+        entry, name, n, at = x.T
+        first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+        size = np.diff(np.concatenate([first, [len(entry)]]))
+        c = np.repeat(size, size)
+        far = (c > SHORT) | np.isin(entry, known_long)
+        out = [np.column_stack([name[far], n[far], name[far], n[far], entry[far], at[far]])]
+        few = np.flatnonzero((c > 1) & ~far)
+        for d in range(1, SHORT):
+            i = few[few + d < len(entry)]
+            i = i[entry[i] == entry[i + d]]
+            if not len(i):
+                break
+            j = i + d
+            ok = fits(n[i], n[j], at[i], at[j])
+            i, j = i[ok], j[ok]
+            zero = np.zeros(len(i), np.int64)
+            out.append(np.column_stack([name[i], n[i], name[j], n[j], zero, zero - 1]))  # names ascend within a list
+        x = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in x.T], schema=SCANNED)
+
+    def scanned(batches):
+        held, known_long = np.zeros((0, 4), np.int64), []
         for batch in batches:
-            lists = batch.column(2)
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            at = np.arange(len(flat)) - (ends[:-1] - ends[0])[rows]
-            hit = in_filter(bits, flat.view(np.uint64))
-            rows = pa.array(rows[hit])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(flat[hit]), pa.array(at[hit])], schema=schema)
-
-    some = arrow_map(begun.where(F.col("doc_id").isNotNull() & (F.size("lists") > 0)).select("name", "n", "lists"), kept, "name long, n long, entry long, at long").distinct()
-    lists = materialize(some.join(shared, "entry", "left_semi").join(nodes, ["name", "n"]).select("entry", "at", "node", "n", "name"))
-    lists = lists.drop("name")
-    own = begun.where(F.col("bitmap").isNotNull()).join(nodes.join(lists.select("node").distinct(), "node", "left_semi"), ["name", "n"]).where(F.col("doc_id") == F.col("node"))
-    maps = materialize(own.select("node", "n", "name", "bitmap", "sign").dropDuplicates(["node"]))
+            x = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
+            if not len(x):
+                continue
+            same = np.zeros(len(x), bool)  # a set that several tasks met
+            same[1:] = (x[1:, 0] == x[:-1, 0]) & (x[1:, 1] == x[:-1, 1])
+            x = x[~same]
+            last = int(np.searchsorted(x[:, 0], x[-1, 0], "left"))
+            if len(x) - last > SHORT or x[-1, 0] in known_long:  # the last list may go on, but is known as long
+                known_long = [*known_long[-1:], int(x[-1, 0])]
+                yield taken(x, known_long)
+                held = x[:0]
+            else:
+                if last:
+                    yield taken(x[:last], known_long)
+                held = x[last:]
+        if len(held):
+            yield taken(held, known_long)
+
+    # Entries that are not frequent have short lists, so that no task gets many rows for one.
+    return arrow_map(entries.select("entry", "name", "n", "at").repartition("entry").sortWithinPartitions("entry", "name"), scanned, "a long, n_a long, b long, n_b long, entry long, at long")
+
+
+def heavy_links(texts: DataFrame, begun: DataFrame, k: int, rule: Rule) -> DataFrame:
+    entries = begun.where(F.size("lists") > 0).select("name", "n", "quiet", F.posexplode("lists").alias("at", "entry")).withColumn("at", F.col("at").cast("long"))
+    found = materialize(scan(entries.where(F.col("at") < F.col("quiet")), rule))
+    near = found.where(F.col("at") < 0).select("a", "b", "n_a", "n_b")
+    # Frequent entries that two different sets have: counted where the rows are, then joined.
+    loud = entries.where(F.col("at") >= F.col("quiet")).select("entry", "name", "n", "at")
+    shared = loud.groupBy("entry").agg(F.min("name").alias("x"), F.max("name").alias("y")).where(F.col("x") < F.col("y")).select("entry")
+    far = found.where(F.col("at") >= 0).select("entry", F.col("a").alias("name"), F.col("n_a").alias("n"), "at")
+    lists = materialize(loud.join(shared, "entry", "left_semi").unionByName(far).distinct())
     # Sets of n and m members share `common` at least, so that one of the first n - common + 1 entries is shared.
     common = lambda n, m: F.ceil(rule.num * (n + m) / (rule.num + rule.den))
     fits = lambda n, m, at, at2: (F.least(n, m) * rule.den >= F.greatest(n, m) * rule.num) & (at <= n - common(n, m)) & (at2 <= m - common(n, m))
-    differ = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(SIGNATURE)), F.lit(0))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pair = lambda x, y, n, m: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(x < y, n).otherwise(m).alias("n_a"), F.when(x < y, m).otherwise(n).alias("n_b"))
     # Stars: each set against the most connected set that leads a list of it, and against others drawn among well connected ones.
     lengths = lists.groupBy("entry").agg(F.count("*").alias("c"))
-    shares = lists.join(lengths, "entry").groupBy("node").agg(F.sum("c").alias("c"))
-    scored = lists.join(shares, "node")
-    lead = lambda k: F.struct(F.when(F.lit(k) == 0, F.col("c")).otherwise(F.floor(F.log2("c"))).alias("c"), F.xxhash64(F.lit(k), F.col("node")).alias("h"), "node", "n", "at")
+    shares = lists.join(lengths, "entry").groupBy("name").agg(F.sum("c").alias("c"))
+    scored = lists.join(shares, "name")
+    lead = lambda k: F.struct(F.when(F.lit(k) == 0, F.col("c")).otherwise(F.floor(F.log2("c"))).alias("c"), F.xxhash64(F.lit(k), F.col("name")).alias("h"), "name", "n", "at")
     tops = scored.groupBy("entry").agg(*(F.max(lead(k)).alias(f"t{k}") for k in range(STARS + 1)))
-    met = lists.join(tops, "entry").select("node", "n", "at", F.posexplode(F.array(*(f"t{k}" for k in range(STARS + 1)))).alias("k", "top"))
-    met = met.where((F.col("node") != F.col("top.node")) & fits(F.col("n"), F.col("top.n"), F.col("at"), F.col("top.at")))
-    star = met.groupBy("node", "k").agg(F.max("top").alias("top"))
-    links = materialize(verified(star.select(*pair(F.col("node"), F.col("top.node"))).distinct(), maps, texts, k, rule))
-    # What is left: pairs of a list that no chain of links connects. One of them at least is outside the part that holds most of the list.
+    met = lists.join(tops, "entry").select("name", "n", "at", F.posexplode(F.array(*(f"t{k}" for k in range(STARS + 1)))).alias("k", "top"))
+    met = met.where((F.col("name") != F.col("top.name")) & fits(F.col("n"), F.col("top.n"), F.col("at"), F.col("top.at")))
+    star = met.groupBy("name", "k").agg(F.max("top").alias("top"), F.first("n").alias("n")).select(*pair(F.col("name"), F.col("top.name"), F.col("n"), F.col("top.n")))
+    links = materialize(verified(near.unionByName(star).distinct(), begun, texts, k, rule))
+    if lists.isEmpty():
+        return links
+    # What is left: pairs of a long list that no chain of links connects. One of them at least is outside the part that holds most of the list.
     parts = components(links)
-    lists = lists.join(parts, "node", "left").select("entry", "at", "node", "n", F.coalesce("component", "node").alias("part"))
+    lists = lists.join(parts, F.col("name") == F.col("node"), "left").select("entry", "at", "name", "n", F.coalesce("component", "name").alias("part"))
     major = lists.groupBy("entry", "part").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("p")).where(F.col("p") > 1).select("entry", F.col("m.part").alias("major"))
-    lists = materialize(lists.join(major, "entry").join(maps.select("node", "sign"), "node"))
-    other = lists.select("entry", *(F.col(c).alias(f"{c}2") for c in ("at", "node", "n", "part", "sign")))
-    once = (F.col("part") != F.col("part2")) & ((F.col("part2") == F.col("major")) | (F.col("node") < F.col("node2")))
-    near = (differ("sign", "sign2") <= F.col("n") - common(F.col("n"), F.col("n2"))) & (differ("sign2", "sign") <= F.col("n2") - common(F.col("n"), F.col("n2")))
-    rest = lists.where(F.col("part") != F.col("major")).join(other, "entry").where(once & fits(F.col("n"), F.col("n2"), F.col("at"), F.col("at2")) & near)
-    return links.unionByName(verified(rest.select(*pair(F.col("node"), F.col("node2"))).distinct(), maps, texts, k, rule))
+    lists = materialize(lists.join(major, "entry").join(signs(begun), "name"))
+    other = lists.select("entry", *(F.col(c).alias(f"{c}2") for c in ("at", "name", "n", "part", "sign")))
+    once = (F.col("part") != F.col("part2")) & ((F.col("part2") == F.col("major")) | (F.col("name") < F.col("name2")))
+    alike = near_signs("sign", "sign2", F.col("n"), F.col("n2"), common)
+    rest = lists.where(F.col("part") != F.col("major")).join(other, "entry").where(once & fits(F.col("n"), F.col("n2"), F.col("at"), F.col("at2")) & alike)
+    rest = rest.select(*pair(F.col("name"), F.col("name2"), F.col("n"), F.col("n2"))).distinct()
+    return links.unionByName(verified(rest, begun, texts, k, rule, signed=True))
+
+
+def signs(begun: DataFrame) -> DataFrame:
+    return begun.where(F.col("sign").isNotNull()).groupBy("name").agg(F.first("sign").alias("sign"))
+
+
+def near_signs(x: str, y: str, n, m, common):
+    differ = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(SIGNATURE)), F.lit(0))
+    return (differ(x, y) <= n - common(n, m)) & (differ(y, x) <= m - common(n, m))
 
 
-def verified(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, rule: Rule) -> DataFrame:
-    """The pairs that link: those whose bitmaps allow it are compared on whole sets."""
+def verified(pairs: DataFrame, begun: DataFrame, texts: DataFrame, k: int, rule: Rule, signed: bool = False) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that link: those whose signatures and bitmaps allow it are compared on whole sets."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    side = lambda key, n, m: maps.select(F.col("node").alias(key), F.col("n").alias(n), F.col("bitmap").alias(m))
-    both = pairs.join(side("a", "n_a", "x"), "a").join(side("b", "n_b", "y"), "b").select("a", "b", "n_a", "n_b", "x", "y")
+    if not signed:
+        own = signs(begun)
+        common = lambda n, m: F.ceil(rule.num * (n + m) / (rule.num + rule.den))
+        side = lambda key, x: own.select(F.col("name").alias(key), F.col("sign").alias(x))
+        pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(near_signs("x", "y", F.col("n_a"), F.col("n_b"), common)).select("a", "b", "n_a", "n_b")
+    pairs = materialize(pairs)
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    maps = materialize(begun.where(F.col("bitmap").isNotNull()).select("name", "doc_id", "bitmap").join(ends, "name", "left_semi").groupBy("name").agg(F.min(F.struct("doc_id", "bitmap")).alias("m")).select("name", "m.doc_id", "m.bitmap"))
+    side = lambda key, m: maps.select(F.col("name").alias(key), F.col("bitmap").alias(m))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "n_a", "n_b", "x", "y")
 
     def allowed(batches):
         for batch in batches:
@@ -361,21 +443,38 @@ def verified(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, rule:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
 
     likely = materialize(arrow_map(both, allowed, "a long, b long"))
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = materialize(ends.join(maps.select("node", "name"), "node"))
+    ends = likely.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    ids = materialize(maps.select("name", "doc_id").join(ends, "name", "left_semi"))
     if ids.isEmpty():
         return likely
-    wanted = bit_filter(ids.select(F.xxhash64("node").alias("h")), "h")
-    sets = full_sets(texts.withColumn("h", F.xxhash64("doc_id")), k, wanted)
-    sets = sets.join(ids, (F.col("doc_id") == F.col("node")) & (sets["name"] == ids["name"])).select("node", "members").dropDuplicates(["node"])
+    wanted = bit_filter(ids.select(F.xxhash64("doc_id").alias("h")), "h")
+    # One document of each set is read again; rows that repeat it give the same members.
+    sets = full_sets(texts, k, wanted).join(ids.withColumnRenamed("doc_id", "of"), "name").where(F.col("doc_id") == F.col("of")).groupBy("name").agg(F.first("members").alias("members"))
     return compared(likely, materialize(sets), rule)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each linked group (the least id) and all that link with nothing; columns of docs."""
-    found = groups(docs, k, num, den)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"), "n_shingles").distinct()
-    ids = keep.groupBy("_id").agg(F.max("n_shingles").alias("_n"))
-    rows = docs.join(ids, docs["doc_id"].cast("long") == F.col("_id"))
-    # Repeated ids: equal rows count once.
-    return rows.select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs with one row of each linked group (the least id) and all that link with nothing; columns of docs.
+
+    Only rows whose id may be that of a row to leave out (a fixed-size filter of
+    hashed ids) go through an exact join; all others pass where they are.
+    """
+    rows, sets = classes(docs, k, num, den)
+    rows = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "key").agg(F.first("n").alias("n"), F.first("name").alias("name"), F.count("*").alias("times"))
+    least = rows.where(F.col("n") > 0).groupBy("name").agg(F.min(F.struct("doc_id", "key")).alias("least")).join(sets, "name", "left").withColumn("class", F.coalesce("class", "name"))
+    best = least.groupBy("class").agg(F.min("least").alias("best"))
+    kept = materialize(best.select("best.doc_id", "best.key").unionByName(rows.where(F.col("n") == 0).select("doc_id", "key")))
+    gone = rows.where(F.col("times") > 1).select("doc_id").unionByName(rows.select("doc_id", "key").join(kept, ["doc_id", "key"], "left_anti").select("doc_id"))
+    doubtful = bit_filter(gone.select(F.xxhash64("doc_id").alias("h")), "h")
+
+    @F.pandas_udf("boolean")
+    def may_go(h: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(doubtful, h.to_numpy(np.int64).view(np.uint64)))
+
+    mark, own, key = fresh(docs, "mark"), fresh(docs, "own"), fresh(docs, "key")
+    own_id = F.col("doc_id").cast("long")
+    marked = docs.withColumn(mark, may_go(F.coalesce(F.xxhash64(own_id), F.lit(0).cast("long"))))
+    sure = marked.where(~F.col(mark) | own_id.isNull()).drop(mark)
+    some = marked.where(F.col(mark) & own_id.isNotNull()).withColumn(own, own_id).withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    some = some.join(kept.select(F.col("doc_id").alias(own), F.col("key").alias(key)), [own, key], "left_semi").dropDuplicates([own, key])
+    return sure.unionByName(some.select(*docs.columns))
