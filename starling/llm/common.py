@@ -76,12 +76,18 @@ def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 HEAVY = 1 / 1000
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left joined to right (unique, not null by key) on the key, inner: the rows of heavy keys meet a broadcast of at most 1 / HEAVY rows, the others are shuffled."""
-    least = max(1, int(left.count() * HEAVY))
-    heavy = materialize(left.groupBy(key).agg(F.count("*").alias("_c")).where(F.col("_c") > least).select(key))
-    some = materialize(right.join(F.broadcast(heavy), key, "left_semi"))
-    rest = left.join(F.broadcast(heavy), key, "left_anti").join(right.join(F.broadcast(heavy), key, "left_anti"), key)
+def heavy_keys(left: DataFrame, key: str) -> DataFrame:
+    """The keys with more than HEAVY of the rows, at most 1 / HEAVY of them; counted where the rows are."""
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    least = max(1, int((left.count()) * HEAVY))
+    return materialize(counts.where(F.col("n") > least).select(key))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame | None = None) -> DataFrame:
+    """left joined to right (unique, not null by key) on the key, inner: rows of heavy keys meet a broadcast of at most 1 / HEAVY rows, the others are shuffled."""
+    heavy = F.broadcast(heavy_keys(left, key) if heavy is None else heavy)
+    some = materialize(right.join(heavy, key, "left_semi"))
+    rest = left.join(heavy, key, "left_anti").join(right.join(heavy, key, "left_anti"), key)
     return left.join(F.broadcast(some), key).unionByName(rest)
 
 

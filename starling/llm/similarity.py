@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bit_filter, fresh, in_filter, join_hot, materialize, mix64
+from .common import arrow_map, bit_filter, fresh, heavy_keys, in_filter, join_hot, materialize, mix64
 from .components import components
 
 CACHE_WORDS = 400_000
@@ -381,18 +381,19 @@ def heavy_links(texts: DataFrame, begun: DataFrame, k: int, rule: Rule) -> DataF
     loud = entries.where(F.col("at") >= F.col("quiet")).select("entry", "name", "n", "at")
     shared = loud.groupBy("entry").agg(F.min("name").alias("x"), F.max("name").alias("y")).where(F.col("x") < F.col("y")).select("entry")
     far = found.where(F.col("at") >= 0).select("entry", F.col("a").alias("name"), F.col("n_a").alias("n"), "at")
-    lists = materialize(loud.join(shared, "entry", "left_semi").unionByName(far).distinct())
+    lists = materialize(join_hot(loud, shared, "entry").unionByName(far).distinct())
+    hot = heavy_keys(lists, "entry")
     # Sets of n and m members share `common` at least, so that one of the first n - common + 1 entries is shared.
     common = lambda n, m: F.ceil(rule.num * (n + m) / (rule.num + rule.den))
     fits = lambda n, m, at, at2: (F.least(n, m) * rule.den >= F.greatest(n, m) * rule.num) & (at <= n - common(n, m)) & (at2 <= m - common(n, m))
     pair = lambda x, y, n, m: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(x < y, n).otherwise(m).alias("n_a"), F.when(x < y, m).otherwise(n).alias("n_b"))
     # Stars: each set against the most connected set that leads a list of it, and against others drawn among well connected ones.
     lengths = lists.groupBy("entry").agg(F.count("*").alias("c"))
-    shares = lists.join(lengths, "entry").groupBy("name").agg(F.sum("c").alias("c"))
+    shares = join_hot(lists, lengths, "entry", hot).groupBy("name").agg(F.sum("c").alias("c"))
     scored = lists.join(shares, "name")
     lead = lambda k: F.struct(F.when(F.lit(k) == 0, F.col("c")).otherwise(F.floor(F.log2("c"))).alias("c"), F.xxhash64(F.lit(k), F.col("name")).alias("h"), "name", "n", "at")
     tops = scored.groupBy("entry").agg(*(F.max(lead(k)).alias(f"t{k}") for k in range(STARS + 1)))
-    met = lists.join(tops, "entry").select("name", "n", "at", F.posexplode(F.array(*(f"t{k}" for k in range(STARS + 1)))).alias("k", "top"))
+    met = join_hot(lists, tops, "entry", hot).select("name", "n", "at", F.posexplode(F.array(*(f"t{k}" for k in range(STARS + 1)))).alias("k", "top"))
     met = met.where((F.col("name") != F.col("top.name")) & fits(F.col("n"), F.col("top.n"), F.col("at"), F.col("top.at")))
     star = met.groupBy("name", "k").agg(F.max("top").alias("top"), F.first("n").alias("n")).select(*pair(F.col("name"), F.col("top.name"), F.col("n"), F.col("top.n")))
     links = materialize(verified(near.unionByName(star).distinct(), begun, texts, k, rule))
@@ -402,7 +403,7 @@ def heavy_links(texts: DataFrame, begun: DataFrame, k: int, rule: Rule) -> DataF
     parts = components(links)
     lists = lists.join(parts, F.col("name") == F.col("node"), "left").select("entry", "at", "name", "n", F.coalesce("component", "name").alias("part"))
     major = lists.groupBy("entry", "part").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("p")).where(F.col("p") > 1).select("entry", F.col("m.part").alias("major"))
-    lists = materialize(lists.join(major, "entry").join(signs(begun), "name"))
+    lists = materialize(join_hot(lists, major, "entry", hot).join(signs(begun), "name"))
     other = lists.select("entry", *(F.col(c).alias(f"{c}2") for c in ("at", "name", "n", "part", "sign")))
     once = (F.col("part") != F.col("part2")) & ((F.col("part2") == F.col("major")) | (F.col("name") < F.col("name2")))
     alike = near_signs("sign", "sign2", F.col("n"), F.col("n2"), common)

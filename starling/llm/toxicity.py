@@ -1,15 +1,20 @@
 """Toxicity by compression distance: a toxic and an ordinary zstandard dictionary.
 
-A window (a few words) reads as toxic if it compresses to fewer bytes with the
-dictionary trained on toxic text than with the one trained on ordinary text.
-Most of a toxic document is ordinary prose, so the samples of the toxic
-dictionary are those windows of toxic documents (whole, or their first
-characters, which endings do not change) that occur there more often than chance
-explains; the ordinary dictionary is trained on stretches of
-ordinary documents, and goes before the trained toxic content in the toxic one,
-so that prose which both kinds of documents share costs the same with either. A document's score is a
-calibrated function of the gains of its different windows: how many there are,
-how many come how near to the calibrated gain, their share, and the best.
+A window (a few words of running text, one window after the other) reads as
+toxic if it compresses to fewer bytes with the dictionary trained on toxic text
+than with the one trained on ordinary text. Both dictionaries begin with the
+same base, trained on ordinary prose, so that what both kinds of text share
+costs the same; behind it each has a part trained on its own class.
+
+A toxic document is mostly ordinary prose, so the parts are trained twice over:
+first on whole texts of the class, then on those windows of each document that
+dictionaries of *other* documents tell apart best (four of a toxic document, the
+one most like toxic text of an ordinary document). Only what recurs between
+documents survives that. A document's score is a logistic
+function of the gains of all its windows: how many there are, how many come how
+near to the calibrated gain, their share, and the best. Gain, weights and
+threshold are calibrated on a third of the documents that the dictionaries never
+saw.
 
 Training uses a bounded sample of labelled documents (``n_toxic`` and
 ``n_ordinary`` of at most ``sample_chars`` characters each, chosen by a hash of
@@ -18,15 +23,16 @@ characters other than ASCII white space; A-Z are lower-cased.
 
 Defined results: null and empty texts have no windows and get the score of a
 document with no gain; repeated rows get equal scores; without labelled rows of
-both classes every score is 0; an empty table gives no rows; extra columns do
-not matter to ``score`` and stay in ``keep_clean``.
+both classes every score is 0; where there are too few windows to train a
+dictionary, the windows themselves are it; an empty table gives no rows; extra
+columns, whatever their names, do not matter to ``score`` and stay in
+``keep_clean``.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +45,13 @@ from .common import arrow_map
 LEVEL = 7
 #: Both dictionaries end with this and it follows each window: alone, so few bytes would be stored raw, and no match may begin in the last eight.
 CARRIER = bytes(range(128, 192))
-CACHE_WINDOWS = 400_000
+#: Scores from here on mean toxic.
+THRESHOLD = 0.7
+#: Windows compressed in one call.
+AT_ONCE = 1 << 15
+#: Windows kept of each toxic and of each ordinary document, and the gain they must have.
+KEPT = (4, 1)
+LEAST_GAIN = 2
 
 
 @dataclass
@@ -54,22 +66,25 @@ class Model:
         return Scorer(self)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def windows(text: str | None, words: int) -> list[bytes]:
-    """Runs of `words` words, one after the other; the last one may be shorter."""
-    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return own if words == 1 else [b" ".join(own[i : i + words]) for i in range(0, len(own), words)]
+    """Runs of `words` words between blanks, one after the other; the last one may be shorter."""
+    own = words_of(text)
+    return [b" " + b" ".join(own[i : i + words]) + b" " for i in range(0, len(own), words)]
 
 
 class Scorer:
-    """Gains of windows (kept in a bounded cache) and scores of documents."""
+    """Gains of windows and scores of documents."""
 
     def __init__(self, model: Model):
         import zstandard as z
 
         self.model = model
-        self.cache: dict[bytes, int] = {}
         if model.toxic:
-            self.toxic, self.ordinary = (self.compressor(z, raw) for raw in (model.toxic, model.ordinary))
+            self.buffers, self.toxic, self.ordinary = z.BufferWithSegments, *(self.compressor(z, raw) for raw in (model.toxic, model.ordinary))
 
     @staticmethod
     def compressor(z, raw: bytes):
@@ -77,111 +92,111 @@ class Scorer:
         own = z.ZstdCompressionParameters.from_level(LEVEL, window_log=18, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
         return z.ZstdCompressor(compression_params=own, dict_data=z.ZstdCompressionDict(raw))
 
-    def gain(self, window: bytes) -> int:
-        """Bytes that the toxic dictionary saves against the ordinary one."""
-        text = b" " + window + b" " + CARRIER
-        return len(self.ordinary.compress(text)) - len(self.toxic.compress(text))
-
-    def gains(self, text: str | None) -> list[int]:
-        """Of each different window."""
-        cache, own = self.cache, set(windows(text, self.model.words))
-        new = own.difference(cache)
-        if len(cache) + len(new) > CACHE_WINDOWS:
-            cache.clear()
-            new = own
-        for w in new:
-            cache[w] = self.gain(w)
-        return list(map(cache.__getitem__, own))
+    def lengths(self, compressor, texts) -> np.ndarray:
+        out = compressor.multi_compress_to_buffer(texts)
+        return np.fromiter(map(len, out), np.int64, len(out))
+
+    def gains(self, own: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each window against the ordinary one."""
+        out = [np.zeros(0, np.int64)]
+        for i in range(0, len(own), AT_ONCE):
+            part = [w + CARRIER for w in own[i : i + AT_ONCE]]
+            sizes = np.fromiter(map(len, part), "<u8", len(part))
+            places = np.column_stack([np.cumsum(sizes) - sizes, sizes]).astype("<u8")
+            texts = self.buffers(b"".join(part), places.tobytes())
+            out.append(self.lengths(self.ordinary, texts) - self.lengths(self.toxic, texts))
+        return np.concatenate(out)
 
     def score(self, text: str | None) -> float:
         if not self.model.toxic:
             return 0.0
-        z = float(np.dot(self.model.weights, traits(self.gains(text), self.model.gain)))
+        z = float(np.dot(self.model.weights, traits(self.gains(windows(text, self.model.words)), self.model.gain)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def traits(gains: list[int], least: int) -> list[float]:
-    """What the calibration sees of a document: constant, size, windows by how far they reach the gain, their share."""
-    own = np.array(gains, np.int64) - least
+def traits(gains: np.ndarray, least: int) -> list[float]:
+    """What the calibration sees of a document: constant, size, windows by how far they reach the gain, their share, the best."""
+    own = gains - least
     hits = int((own >= 0).sum())
     tiers = [math.log1p(int((own >= t).sum())) for t in (-2, -1, 0, 1, 2)]
     return [1.0, math.log1p(len(own)), *tiers, 10 * hits / max(20, len(own)), float(max(-3, min(6, own.max()))) if len(own) else -3.0]
 
 
-def dictionary(samples: list[bytes], size: int, keep: list[bytes] = ()) -> bytes:
-    """A trained zstandard dictionary; entries of `keep` that training left out are appended to its content."""
+def dictionary(samples: list[bytes], size: int, segment: int, fit: int) -> bytes:
+    """A zstandard dictionary trained on the samples; the last of them as they are where training needs more."""
     import zstandard as z
 
-    for _ in range(8):
-        try:
-            raw = z.train_dictionary(size, samples, k=48, d=6, level=LEVEL).as_bytes()
-            return raw + b"".join(w for w in keep if w not in raw)
-        except z.ZstdError:  # too few samples
-            samples = samples * 2
-    return b""
+    try:
+        return z.train_dictionary(size, samples, k=segment, d=fit, level=LEVEL).as_bytes()
+    except z.ZstdError:
+        return b"".join(samples)[-size:]
 
 
-def chunks(parts: list[bytes], n: int) -> list[bytes]:
-    return [b"".join(parts[i : i + n]) for i in range(0, len(parts), n)]
+def stretches(texts: list[str], size: int = 512) -> list[bytes]:
+    return [x[i : i + size] for t in texts if (x := b" " + b" ".join(words_of(t)) + b" ") for i in range(0, len(x), size)]
 
 
-def openings(text: str | None, words: int, shortest: int = 4) -> set[bytes]:
-    """A blank and the first characters of a window, each length from `shortest` on, and the whole window between blanks."""
-    out = set()
-    for w in set(windows(text, words)):
-        out.add(b" " + w + b" ")
-        out.update(b" " + w[:n] for n in range(shortest, min(len(w), 24) + 1))
-    return out
-
-
-def telling(toxic: Counter, ordinary: Counter, prior: float) -> list[bytes]:
-    """Openings that occur in toxic documents more often than chance explains: n * KL(observed share | prior) above the log of how many openings occur as often."""
-    total = np.sort(np.array([n + ordinary[w] for w, n in toxic.items()]))
-    out = []
-    for w, n in toxic.items():
-        both = n + ordinary[w]
-        p = n / both
-        rivals = len(total) - np.searchsorted(total, both)
-        if p > prior and both * (p * math.log(p / prior) + ((1 - p) * math.log((1 - p) / (1 - prior)) if p < 1 else 0)) > math.log(rivals + 1) and p > 1 - (1 - prior) / 8:
-            out.append(w)
-    found = set(out)  # of openings that continue one another, the shortest; and whole windows
-    return sorted(w for w in out if w.endswith(b" ") or not any(w[:i] in found for i in range(2, len(w))))
+def chunks(parts: list[bytes], n: int = 16) -> list[bytes]:
+    return [b"".join(parts[i : i + n]) for i in range(0, len(parts), n)]
 
 
-def train(toxic: list[str], ordinary: list[str], words: int = 1, size: int = 16 << 10, ordinary_size: int = 112 << 10, recur: int = 3) -> Model:
+def train(toxic: list[str], ordinary: list[str], words: int = 2, rounds: int = 1, base_size: int = 64 << 10, first_size: int = 32 << 10, sizes: tuple[int, int] = (3 << 10, 4 << 10)) -> Model:
     """Fit dictionaries, gain and weights on labelled texts (exact copies count once)."""
-    model = Model(words=words)
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     if not toxic or not ordinary:
-        return model
-    seen_toxic, seen_ordinary = Counter(), Counter()
-    for t in toxic:
-        seen_toxic.update(openings(t, words))
-    seen_toxic = Counter({w: n for w, n in seen_toxic.items() if n >= recur})
-    for t in ordinary:
-        seen_ordinary.update(openings(t, words) & seen_toxic.keys())
-    marks = telling(seen_toxic, seen_ordinary, len(toxic) / (len(toxic) + len(ordinary)))
-    if not marks:
-        return model
-    rng = np.random.default_rng(9)
-    order = rng.permutation(np.repeat(np.arange(len(marks)), [min(seen_toxic[w], 20) for w in marks])).tolist()
-    model.toxic = dictionary(chunks([marks[i] for i in order], 16), min(size, max(1024, sum(map(len, marks)))), marks)
-    slices = [x[i : i + 512] for t in ordinary if (x := b" " + b" ".join(windows(t, 1)) + b" ") for i in range(0, len(x), 512)]
-    model.ordinary = dictionary([slices[i] for i in sorted(rng.permutation(len(slices))[:8000].tolist())], ordinary_size)
-    if not model.toxic or not model.ordinary:
         return Model(words=words)
-    model.toxic, model.ordinary = model.ordinary + model.toxic + CARRIER, model.ordinary + CARRIER
-    scorer = model.scorer()
-    gains = [[scorer.gains(t) for t in texts] for texts in (ordinary, toxic)]
-    best = (-1.0, 1)
+    rng = np.random.default_rng(9)
+    draw = lambda x, n: [x[i] for i in sorted(rng.permutation(len(x))[:n].tolist())]
+    base = dictionary(draw(stretches(ordinary), 8000), base_size, 48, 6)
+
+    def made(own: list[list[bytes]], sizes: tuple[int, int], segment: int, fit: int) -> Model:
+        """own: training samples of each class, (toxic, ordinary)."""
+        raw = [base + dictionary(x, n, segment, fit) + CARRIER for x, n in zip(own, sizes, strict=True)]
+        return Model(*raw, words=words)
+
+    # Two parts of the documents make the dictionaries, a third one calibrates them.
+    parts = [(toxic[h::3], ordinary[h::3]) for h in range(3)]
+    cut = [[[windows(t, words) for t in texts] for texts in part] for part in parts]
+    models = [made([stretches(texts) for texts in part], (first_size, first_size), 48, 6) for part in parts[:2]]
+    kept: list[list[list[bytes]]] = []
+    for _ in range(rounds):
+        kept = []
+        for part, model in zip(cut[:2], reversed(models), strict=True):
+            scorer, own = model.scorer(), []
+            for docs, most in zip(part, KEPT, strict=True):
+                best = []
+                for doc in docs:
+                    gains = scorer.gains(doc)
+                    best += [doc[i] for i in np.argsort(-gains, kind="stable")[:most] if gains[i] >= LEAST_GAIN]
+                own.append([best[i] for i in rng.permutation(len(best))])
+            kept.append(own)
+        models = [made([chunks(x) for x in own], sizes, 24, 8) for own in kept]
+    out = made([chunks(kept[0][c] + kept[1][c]) for c in (0, 1)], sizes, 24, 8)
+    scorer = out.scorer()
+    gains = [[scorer.gains(doc) for doc in (cut[2][c] or cut[0][c])] for c in (0, 1)]  # with one or two documents there is no third part
+    best = (-2.0, 1)
     for least in range(1, 13):
-        found = [np.mean([any(g >= least for g in own) for own in side]) for side in gains]
-        best = max(best, (float(found[1] - found[0]), least))
-    model.gain = best[1]
-    x = np.array([traits(g, model.gain) for side in gains for g in side])
-    y = np.repeat([0.0, 1.0], [len(ordinary), len(toxic)])
-    model.weights = logistic(x, y).tolist()
-    return model
+        found = [np.mean([bool((g >= least).any()) for g in side]) for side in gains]
+        best = max(best, (float(found[0] - found[1]), least))
+    out.gain = best[1]
+    x = np.array([traits(g, out.gain) for side in gains for g in side])
+    n = len(gains[0])
+    w = logistic(x, (np.arange(len(x)) < n).astype(float))
+    # The score is THRESHOLD where the classes are told apart best.
+    w[0] += math.log(THRESHOLD / (1 - THRESHOLD)) - divide(x[:n] @ w, x[n:] @ w)
+    out.weights = w.tolist()
+    return out
+
+
+def divide(high: np.ndarray, low: np.ndarray) -> float:
+    """The middle of the gap with the largest share of `high` above less four times that of `low`."""
+    at = np.unique(np.concatenate([high, low]))
+    if len(at) < 2:
+        return float(at[0])
+    cuts = (at[1:] + at[:-1]) / 2
+    worth = (1 - np.searchsorted(np.sort(high), cuts) / len(high)) - 4 * (1 - np.searchsorted(np.sort(low), cuts) / len(low))
+    best = np.flatnonzero(worth >= worth.max() - 1e-12)
+    return float(cuts[best[np.argmax(np.diff(at)[best])]])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.3) -> np.ndarray:
@@ -215,7 +230,7 @@ def sample(docs: DataFrame, labels: DataFrame, n_toxic: int, n_ordinary: int, sa
     return [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = 1500, n_ordinary: int = 4500, sample_chars: int = 4000, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = 3000, n_ordinary: int = 6000, sample_chars: int = 4000, **options) -> Model:
     """Train on a bounded sample of the labelled rows that are not held out."""
     return train(*sample(docs, labels, n_toxic, n_ordinary, sample_chars), **options)
 
@@ -223,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = 1500, n_ordinary: int
 SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
 
     def scored(batches):
@@ -236,7 +251,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold."""
     at = docs.columns.index(text_col)
 
