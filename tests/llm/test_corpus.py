@@ -162,6 +162,25 @@ def test_nra_stops_early_with_the_same_answer():
         assert sorted(score)[::-1] == sorted(s)[::-1][:5] and (s[can] == score).all()
 
 
+def test_reading_stops_before_the_lists_end():
+    """Lists that close are not read on: on long vectors about three quarters of the entries, where all rows would have to be scored otherwise."""
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(0, 1, (4000, 64)) * 32)
+    reads = []
+    got = topk.search(x[:40], np.arange(40), np.arange(4000), x, 5, reads=reads)
+    assert len(reads) == 40 and np.mean(reads) <= 0.85 * 4000 and max(reads) < 4000
+    for i, can, score in got:
+        s = x @ x[i]
+        s[i] = -np.inf
+        order = sorted((-v, j) for j, v in enumerate(s))[:5]
+        assert [(-a, b) for a, b in zip(score, can, strict=True)] == order
+    # What a step reads, and nothing else, is added.
+    lists = topk.Lists(x[:100])
+    found, seen = lists.read(0, 10)
+    assert seen.sum() == 2 * 64 * 10 and np.count_nonzero(found[seen == 0]) == 0
+    assert all(set(np.flatnonzero(seen[:, j])) == set(np.argsort(x[:100, j], kind="stable")[-10:]) for j in range(64))
+
+
 def test_url_rules_and_propagation(spark):
     pages = [(1, "http://good.org/fr/a", '<a href="http://mid.test/x">'), (2, "http://mid.test/", "<a class=x href=https://Far.test?q>"), (3, "http://bad.net/", ""), (4, "http://feeder.test/q", '<A HREF="//bad.net/">'), (6, None, None), (7, "nourl", ""), (8, "x://A.B?z#y", ""), (10, "http://sub.example.net/en/x", None), (11, "http://notexample.net/en/x", None), (12, "http://EXAMPLE.com/de/", None), (12, "http://EXAMPLE.com/de/", None)]
     got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, host string")).collect()}
