@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.checkpoint import new_path
@@ -97,3 +97,17 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def before_each(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df with, for each of `sums`, its sum over the rows before in this order (0 for the first row).
+
+    Rows are dealt into ranges; only a row for each range meets the others.
+    """
+    part = fresh(df, "part")
+    own = materialize(df.select("*", *(c.cast("long").alias(n) for n, c in sums.items())).repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    ranges, inside = Window.orderBy(part), Window.partitionBy(part).orderBy(*order)
+    totals = own.groupBy(part).agg(*(F.sum(n).alias(n) for n in sums)).select(part, *((F.sum(n).over(ranges) - F.col(n)).alias(f"_{n}") for n in sums))
+    within = own.select("*", *((F.sum(n).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(n)).alias(f"__{n}") for n in sums))
+    out = within.join(F.broadcast(totals), part)
+    return out.select(*df.columns, *((F.col(f"_{n}") + F.col(f"__{n}")).alias(n) for n in sums))
