@@ -79,13 +79,13 @@ def tweet_edges(posts: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.max(F.struct("t_src", "t_dst")).alias("t")).select(F.lit(int(Relation.TWEET_RETWEET)).alias("rel"), "src", "dst", "t.t_src", "t.t_dst")
 
 
-def node_map(posts: DataFrame) -> DataFrame:
-    """Distinct (original, node, map_type) of users, repeated users, posts and tags."""
+def node_map(posts: DataFrame, counted: bool = False) -> DataFrame:
+    """Distinct (original, node, map_type) of users, repeated users, posts and tags; if counted, with their number as weight."""
     row = lambda original, prefix, kind: F.struct(original.cast("string").alias("original"), F.concat(F.lit(prefix), original.cast("string")).alias("node"), F.lit(int(kind)).alias("map_type"))
     tags = F.transform(tag_list("hashtagEntities"), lambda t: row(t, "h:", MapKind.HASHTAG))
     fixed = F.array(row(F.col("user.id"), "u:", MapKind.USER_ID), row(F.col("retweeted_status.user.id"), "u:", MapKind.RETWEETED_USER_ID), F.when(F.col("retweeted_status").isNotNull(), row(F.col("id"), "t:", MapKind.TWEET_ID)), row(F.col("retweeted_status.id"), "t:", MapKind.TWEET_ID))
     rows = posts.select(F.explode(F.concat(fixed, tags)).alias("x")).where(F.col("x.original").isNotNull()).select("x.*")
-    return rows.dropDuplicates()
+    return rows.groupBy("original", "node", "map_type").agg(F.count("*").alias("weight")) if counted else rows.dropDuplicates()
 
 
 def screen_names(posts: DataFrame) -> DataFrame:

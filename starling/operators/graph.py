@@ -18,6 +18,12 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(own.withColumnRenamed("name", "src"), "src", "left_semi").join(own.withColumnRenamed("name", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
+def first_vertices(edges: DataFrame, n: int) -> DataFrame:
+    """The subgraph of the n first nodes by name."""
+    names = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+    return induced(edges, names.orderBy("name").limit(n))
+
+
 def touching(edges: DataFrame, members: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, name, edge) for edges with an end among members; if both are, the source counts. Two equi-joins instead of an OR."""
     own = members.select(*keys, "name").distinct()

@@ -63,15 +63,18 @@ def similarity(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("resolution",)
     """
     if exclude_noise:
         a, b = (p.where(F.col("community") != NOISE) for p in (a, b))
-    # One pass: sums over label pairs that need no total, put together at the end. With n1 the size of l1, the sum of
-    # n * f(n1) over label pairs is the sum of n1 * f(n1) over labels.
+    # Label pairs and the labels of both sides are counted by one grouped sum over grouping sets, so no label, the noise
+    # label either, brings its pairs into one task; all measures are sums over these counts.
     c = contingency(a, b, keys)
-    c = c.withColumn("n1", F.sum("n").over(Window.partitionBy(*keys, "l1"))).withColumn("n2", F.sum("n").over(Window.partitionBy(*keys, "l2")))
-    n, n1, n2 = (F.col(x).cast("double") for x in ("n", "n1", "n2"))
+    sets = [(*keys, "l1", "l2"), (*keys, "l1"), (*keys, "l2")]
+    c = c.groupingSets(sets, *keys, "l1", "l2").agg(F.sum("n").cast("double").alias("n"), F.grouping("l1").alias("no1"), F.grouping("l2").alias("no2"))
+    n, of = F.col("n"), {"": (F.col("no1") == 0) & (F.col("no2") == 0), "1": F.col("no2") == 1, "2": F.col("no1") == 1}
     t = c.groupBy(*keys).agg(
-        F.sum("n").alias("total"), F.sum(n * F.ln(n)).alias("x"), F.sum(n * F.ln(n1)).alias("x1"), F.sum(n * F.ln(n2)).alias("x2"),
-        F.sum(n * (n - 1) / 2).alias("s"), F.sum(n * (n1 - 1) / 2).alias("s1"), F.sum(n * (n2 - 1) / 2).alias("s2"), F.sum(n / n1).alias("k1"), F.sum(n / n2).alias("k2"),
-    )
+        F.sum(F.when(of[""], n)).cast("long").alias("total"),
+        *(F.sum(F.when(which, n * F.ln(n))).alias(f"x{i}") for i, which in of.items()),
+        *(F.sum(F.when(which, n * (n - 1) / 2)).alias(f"s{i}") for i, which in of.items()),
+        *(F.count_if(of[i]).alias(f"k{i}") for i in ("1", "2")),
+    )
     total = F.col("total").cast("double")
     h1, h2 = (F.greatest(F.lit(0.0), F.ln(total) - F.col(x) / total) for x in ("x1", "x2"))
     mi = (F.col("x") - F.col("x1") - F.col("x2")) / total + F.ln(total)
@@ -81,9 +84,9 @@ def similarity(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("resolution",)
     return t.select(
         *keys,
         F.col("total").alias("n_common"),
-        F.round("k1").cast("long").alias("n_comms_1"),
-        F.round("k2").cast("long").alias("n_comms_2"),
-        F.when((F.round("k1") == 1) & (F.round("k2") == 1), 1.0).when(F.col("both") == 0, 1.0).otherwise(2 * F.col("mi") / F.col("both")).alias("nmi"),
+        F.col("k1").alias("n_comms_1"),
+        F.col("k2").alias("n_comms_2"),
+        F.when((F.col("k1") == 1) & (F.col("k2") == 1), 1.0).when(F.col("both") == 0, 1.0).otherwise(2 * F.col("mi") / F.col("both")).alias("nmi"),
         F.when((F.col("total") < 2) | (F.col("middle") == F.col("expected")), 1.0).otherwise((F.col("s") - F.col("expected")) / (F.col("middle") - F.col("expected"))).alias("ari"),
         F.greatest(F.lit(0.0), nats).alias("vi_nats"),
         F.greatest(F.lit(0.0), nats * bits).alias("vi_bits"),
@@ -99,15 +102,33 @@ def overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("resolution",))
     return c.select(*keys, "a_comm", "a_size", "b_comm", "b_size", "common", (F.col("common") / (F.col("a_size") + F.col("b_size") - F.col("common"))).alias("jaccard"))
 
 
-def best_matches(a: DataFrame, b: DataFrame, k: int = 1, keys: Sequence[str] = ("resolution",)) -> DataFrame:
-    """The k most similar communities of b for each of a that overlaps any; ties to the smaller label."""
+def best_matches(a: DataFrame, b: DataFrame, k: int = 1, keys: Sequence[str] = ("resolution",), without_overlap: bool = False) -> DataFrame:
+    """The k most similar communities of b for each of a; ties to the smaller label.
+
+    Communities that share no node are left out; with ``without_overlap`` they
+    fill up to k, at a Jaccard of 0 and by label.
+    """
     order = Window.partitionBy(*keys, "a_comm").orderBy(F.desc("jaccard"), "b_comm")
-    return overlaps(a, b, keys).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = overlaps(a, b, keys).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if not without_overlap:
+        return best
+    best = written(best)
+    sizes = lambda p, l, n: p.groupBy(*keys, F.col("community").alias(l)).agg(F.count("*").alias(n))  # noqa: E731, E741
+    have = sizes(a, "a_comm", "a_size").join(best.groupBy(*keys, "a_comm").agg(F.collect_set("b_comm").alias("own")), [*keys, "a_comm"], "left")
+    few = have.withColumn("own", F.coalesce("own", F.array().cast("array<bigint>"))).where(F.size("own") < k)
+    # A community with fewer than k overlaps misses at most k of the first 2k - 1 labels.
+    first = Window.partitionBy(*keys).orderBy("b_comm")
+    labels = sizes(b, "b_comm", "b_size").withColumn("r", F.row_number().over(first)).where(F.col("r") < 2 * k)
+    labels = labels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b_comm", "b_size"))).alias("labels"))
+    other = F.slice(F.filter("labels", lambda x: ~F.array_contains("own", x["b_comm"])), 1, k - F.size("own"))
+    rest = few.join(F.broadcast(labels), list(keys)).select(*keys, "a_comm", "a_size", F.size("own").alias("before"), F.posexplode(other).alias("i", "b"))
+    rest = rest.select(*keys, "a_comm", "a_size", "b.b_comm", "b.b_size", F.lit(0).cast("long").alias("common"), F.lit(0.0).alias("jaccard"), (F.col("before") + F.col("i") + 1).alias("rank"))
+    return best.unionByName(rest)
 
 
 def top_matches_wide(a: DataFrame, b: DataFrame, k: int = 3, keys: Sequence[str] = ("resolution",)) -> DataFrame:
-    """One row for each community of a: b_comm_i, jaccard_i, b_size_i for i up to k."""
-    wide = best_matches(a, b, k, keys).groupBy(*keys, "a_comm", "a_size").pivot("rank", list(range(1, k + 1)))
+    """One row for each community of a: b_comm_i, jaccard_i, b_size_i for i up to k, communities without overlap included."""
+    wide = best_matches(a, b, k, keys, without_overlap=True).groupBy(*keys, "a_comm", "a_size").pivot("rank", list(range(1, k + 1)))
     out = wide.agg(F.first("b_comm").alias("b_comm"), F.first("jaccard").alias("jaccard"), F.first("b_size").alias("b_size"))
     return out.select(*keys, "a_comm", "a_size", *(F.col(f"{i}_{c}").alias(f"{c}_{i}") for i in range(1, k + 1) for c in ("b_comm", "jaccard", "b_size")))
 

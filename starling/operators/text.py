@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import conditional_text
+from ..plans.checkpoint import written
 
 
 def community_texts(posts: DataFrame, membership: DataFrame, communities: list[int], compat: bool = False) -> DataFrame:
@@ -33,35 +34,33 @@ def class_terms(texts: DataFrame, cls: str, text: str = "text", k: int = 10) ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def diverse(vectors: DataFrame, cls: str = "label", vector: str = "embedding", ident: str = "vec_id", k: int = 5, pool: int = 50, diversity: float = 0.3) -> DataFrame:
-    """(class, id, rank): maximal marginal relevance among each class's `pool` nearest vectors to its centroid.
+def with_originals(membership: DataFrame, node_map: DataFrame) -> DataFrame:
+    """membership with the original name of each node; a node of several kinds has one of each name."""
+    names = node_map.select(F.col("node").alias("name"), "original").distinct()
+    return membership.join(names, "name")
 
-    The centroid and the pool (a ranking, bounded per class) are found with
-    DataFrame functions; only the pool is ranked in a task of its own.
-    """
-    import numpy as np
-    import pandas as pd
 
+def diverse(vectors: DataFrame, cls: str = "label", vector: str = "embedding", ident: str = "vec_id", k: int = 5, diversity: float = 0.3) -> DataFrame:
+    """(class, id, rank): maximal marginal relevance to each class's centroid over all of its vectors.
+
+    Each of the k steps is a grouped maximum over all vectors that are left, so
+    nothing but the vector chosen last meets its class; scores are rounded to
+    nine digits, so that equal ones tie alike everywhere (to the smaller id).
+    """
     v = vectors.select(F.col(cls).alias("class"), F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("x"))
     centre = v.select("class", F.posexplode("x").alias("i", "c")).groupBy("class", "i").agg(F.avg("c").alias("c"))
     centre = centre.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("centre"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    near = v.join(centre, "class").withColumn("near", dot(F.col("x"), F.col("centre")) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("centre"), F.col("centre"))))
-    order = Window.partitionBy("class").orderBy(F.desc("near"), "id")
-    near = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pool)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r")
-        x = np.stack(pdf["x"].to_numpy())
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        own, like = pdf["near"].to_numpy(), x @ x.T
-        chosen: list[int] = []
-        while len(chosen) < min(k, len(own)):
-            worst = like[:, chosen].max(axis=1) if chosen else np.zeros(len(own))
-            score = (1 - diversity) * own - diversity * worst
-            score[chosen] = -np.inf
-            chosen.append(int(np.argmax(score)))
-        return pd.DataFrame({"class": pdf["class"].iloc[0], "id": pdf["id"].to_numpy()[chosen], "rank": range(1, len(chosen) + 1)})
-
-    kinds = dict(near.dtypes)
-    return near.select("class", "id", "x", "near", "r").groupBy("class").applyInPandas(pick, f"class {kinds['class']}, id {kinds['id']}, rank int")
+    left = v.join(centre, "class").withColumn("long", F.sqrt(dot(F.col("x"), F.col("x"))))
+    left = written(left.select("class", "id", "x", "long", (dot(F.col("x"), F.col("centre")) / (F.col("long") * F.sqrt(dot(F.col("centre"), F.col("centre"))))).alias("near"), F.lit(0.0).alias("worst")))
+    out = None
+    for rank in range(1, k + 1):
+        score = F.round((1 - diversity) * F.col("near") - diversity * F.col("worst"), 9)
+        best = written(left.groupBy("class").agg(F.max_by(F.struct("id", "x", "long"), F.struct(score, -F.col("id"))).alias("p")).select("class", "p.*"))
+        found = best.select("class", "id", F.lit(rank).alias("rank"))
+        out = found if out is None else out.unionByName(found)
+        if rank < k:
+            like = dot(F.col("x"), F.col("px")) / (F.col("long") * F.col("plong"))
+            left = left.join(best.select("class", F.col("id").alias("pid"), F.col("x").alias("px"), F.col("long").alias("plong")), "class").where(F.col("id") != F.col("pid"))
+            left = left.withColumn("worst", like if rank == 1 else F.greatest("worst", like)).select("class", "id", "x", "long", "near", "worst")
+    return out

@@ -171,7 +171,21 @@ def ctfidf_terms(spark, sf):
     return text.class_terms(B.table(spark, sf, "conversations"), "role")
 
 
-@query()
+def mmr_sql(k: int = 5) -> str:
+    unit = "list_inner_product(v.x, p.x) / (v.l * p.l)"
+    steps = ["s0 AS (SELECT class, id, x, l, near, 0.0::DOUBLE AS worst FROM v)", "c0 AS (SELECT class, id, x, l FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(0.7 * near, 9) DESC, id) AS r FROM s0) WHERE r = 1)"]
+    for i in range(1, k):
+        worst = unit if i == 1 else f"greatest(v.worst, {unit})"
+        steps.append(f"s{i} AS (SELECT v.class, v.id, v.x, v.l, v.near, {worst} AS worst FROM s{i - 1} v JOIN c{i - 1} p ON v.class = p.class WHERE v.id <> p.id)")
+        steps.append(f"c{i} AS (SELECT class, id, x, l FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(0.7 * near - 0.3 * worst, 9) DESC, id) AS r FROM s{i}) WHERE r = 1)")
+    out = " UNION ALL ".join(f"SELECT class, id, CAST({i + 1} AS INTEGER) AS rank FROM c{i}" for i in range(k))
+    return f"""WITH e AS (SELECT label AS class, vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT class, generate_subscripts(x, 1) AS i, unnest(x) AS c FROM e), m AS (SELECT class, i, avg(c) AS c FROM u GROUP BY ALL),
+z AS (SELECT class, list(c ORDER BY i) AS z FROM m GROUP BY class),
+v AS (SELECT class, id, x, sqrt(list_inner_product(x, x)) AS l, list_inner_product(x, z) / sqrt(list_inner_product(x, x) * list_inner_product(z, z)) AS near FROM e JOIN z USING (class)), {", ".join(steps)} {out}"""
+
+
+@query(mmr_sql())
 def mmr_rank(spark, sf):
     return text.diverse(B.table(spark, sf, "embeddings"))
 
@@ -255,11 +269,86 @@ def tag_dictionary(spark, sf):
 @query("SELECT min(event_id) AS low, max(event_id) AS high, CAST(count(DISTINCT event_id // 1000) AS BIGINT) AS chunks FROM events")
 def id_chunks(spark, sf):
     e = B.table(spark, sf, "events")
-    parts = readers.id_chunks(e, "event_id", 1000)
-    return spark.createDataFrame([(parts[0][0], parts[-1][1] - 1, len(parts))], "low long, high long, chunks long")
+    return readers.id_chunks(e, "event_id", 1000).agg(F.min("start").alias("low"), (F.max("end") - 1).alias("high"), F.count("*").alias("chunks"))
 
 
-@query()
+@query(f"WITH {P} SELECT id, event_type || ' by ' || uid AS text FROM posts ORDER BY md5('42:' || id), id LIMIT 100")
 def sampled_posts(spark, sf):
     """A seeded sample of exactly 100 posts."""
-    return readers.sample(B.posts(spark, sf), 100).select("id", "text")
+    return readers.sample(B.posts(spark, sf), 100, key="id").select("id", "text")
+
+
+@query(f"""WITH {ALL_SQL} SELECT CAST(rel AS INTEGER) AS rel, src, dst,
+  CAST(timezone('UTC', timezone('Europe/Rome', date_trunc('week', timezone('Europe/Rome', timezone('UTC', created_at))))) AS TIMESTAMP) AS bucket, count(*) AS weight FROM raw GROUP BY ALL""")
+def edges_weekly_rome(spark, sf):
+    """Weeks that begin on Mondays in Rome, as instants."""
+    return E.edges(B.posts(spark, sf), method="week", zone="Europe/Rome").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query(f"WITH {ALL_SQL} SELECT CAST(rel AS INTEGER) AS rel, src, dst, CAST(timezone('UTC', timezone('Europe/Rome', date_trunc('day', timezone('Europe/Rome', timezone('UTC', created_at))))) AS TIMESTAMP) AS bucket, count(*) AS weight FROM raw GROUP BY ALL")
+def edges_daily_rome(spark, sf):
+    return E.edges(B.posts(spark, sf), method="day", zone="Europe/Rome").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query(f"""WITH {P}, rows AS (
+SELECT CAST(uid AS VARCHAR) AS original, 'u:' || uid AS node, 0 AS map_type FROM posts
+UNION ALL SELECT CAST(rt_uid AS VARCHAR), 'u:' || rt_uid, 1 FROM posts WHERE rt_uid IS NOT NULL
+UNION ALL SELECT CAST(id AS VARCHAR), 't:' || id, 2 FROM posts WHERE rt_id IS NOT NULL
+UNION ALL SELECT CAST(rt_id AS VARCHAR), 't:' || rt_id, 2 FROM posts WHERE rt_id IS NOT NULL
+UNION ALL SELECT t, 'h:' || t, 3 FROM (SELECT unnest(string_split(tags, '|')) AS t FROM posts))
+SELECT original, node, map_type, count(*) AS weight FROM rows GROUP BY ALL""")
+def counted_node_map(spark, sf):
+    return E.node_map(B.posts(spark, sf), counted=True)
+
+
+@query(f"""WITH {P}, {B.MEMBERSHIP_SQL}, n AS (SELECT DISTINCT 'u:' || uid AS node, CAST(uid AS VARCHAR) AS original FROM posts)
+SELECT m.resolution, m.community, m.name, n.original FROM membership m JOIN n ON m.name = n.node WHERE m.graph = 'R' AND round(m.resolution * 10) IN (1, 5)""")
+def labelled_originals(spark, sf):
+    """Communities joined to the node map: what each member was called before."""
+    members = B.graph(B.membership(spark, sf), "R").where(F.col("resolution").isin(0.1, 0.5))
+    return text.with_originals(members, E.node_map(B.posts(spark, sf))).select("resolution", "community", "name", "original")
+
+
+@query(f"WITH {ALL_SQL}, g AS (SELECT src, dst, count(*) AS weight FROM raw WHERE rel = 0 GROUP BY ALL), v AS (SELECT name FROM (SELECT src AS name FROM g UNION SELECT dst FROM g) ORDER BY name LIMIT 100) SELECT src, dst, weight FROM g WHERE src IN (SELECT name FROM v) AND dst IN (SELECT name FROM v)")
+def first_vertices(spark, sf):
+    """The subgraph of the first hundred nodes by name."""
+    return G.first_vertices(E.edges(B.posts(spark, sf), [Relation.RETWEET]).select("src", "dst", "weight"), 100)
+
+
+@query(f"WITH {ALL_SQL} SELECT CAST(rel AS INTEGER) AS rel, src, dst, count(*) AS weight FROM raw WHERE rel IN (0, 4) GROUP BY ALL")
+def csv_rows_round_trip(spark, sf):
+    """Edges in a stamped CSV with a header, read by schema."""
+    folder = new_path(spark, "stamped")
+    path = sinks.stamped(E.edges(B.posts(spark, sf), [Relation.RETWEET, Relation.RESPONSE]), folder, "edges")
+    return readers.csv_rows(spark, path, "rel int, src string, dst string, weight long", header=True)
+
+
+@query(f"WITH {ALL_SQL}, g AS (SELECT rel, src, dst, count(*) AS weight FROM raw GROUP BY ALL) SELECT CASE WHEN src LIKE 'h:%' THEN 'h' ELSE 'u' END AS type, count(DISTINCT src) AS n_sources, CAST(sum(weight) AS BIGINT) AS weight FROM g GROUP BY ALL")
+def snapshot_round_trip(spark, sf):
+    """Vertices and edges as a snapshot; the edges of each kind of node, read from it."""
+    path = new_path(spark, "snapshot")
+    e = E.edges(B.posts(spark, sf))
+    sinks.snapshot(E.vertices(e), e, path)
+    v, e = readers.snapshot(spark, path)
+    return e.join(v, e["src"] == v["name"]).groupBy("type").agg(F.countDistinct("src").alias("n_sources"), F.sum("weight").alias("weight"))
+
+
+@query(f"WITH {P} SELECT id, uid AS user_id, created_at, rt_id FROM posts")
+def ejson_round_trip(spark, sf):
+    """Posts written as extended JSON, with their times as {{"$date": ...}}, and read back."""
+    path = new_path(spark, "ejson")
+    stamp = lambda c: F.struct(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("$date"))
+    p = B.posts(spark, sf).select("id", stamp("created_at").alias("created_at"), "text", "user", F.when(F.col("retweeted_status").isNotNull(), F.struct(F.col("retweeted_status.id").alias("id"), stamp("retweeted_status.created_at").alias("created_at"))).alias("retweeted_status"))
+    p.write.json(path)
+    return readers.ejson_posts(spark, path).select("id", F.col("user.id").alias("user_id"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), F.col("retweeted_status.id").alias("rt_id"))
+
+
+@query("""SELECT o_orderkey AS id, strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') AS day, strptime(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%dT%H:%M:%SZ') AS instant,
+'0.' || (o_orderkey % 10) AS resolution, CAST(o_custkey AS VARCHAR) AS community FROM orders""")
+def parsed_texts(spark, sf):
+    """Days, instants and report names read from texts."""
+    o = B.table(spark, sf, "orders")
+    day, instant = F.date_format("o_orderdate", "dd/MM/yyyy"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    name = F.concat(F.lit("out/candidate_res0."), F.col("o_orderkey") % 10, F.lit("_comm"), F.col("o_custkey"), F.lit(".csv"))
+    resolution, community = scalar.report_name(name)
+    return o.select(F.col("o_orderkey").alias("id"), scalar.parse_day(day).cast("timestamp_ntz").alias("day"), scalar.parse_instant(instant).cast("timestamp_ntz").alias("instant"), resolution.alias("resolution"), community.alias("community"))

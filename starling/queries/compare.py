@@ -102,7 +102,14 @@ def jaccard_best(spark, sf):
     return rounded(funnel.counterparts(users(spark, sf, "R"), users(spark, sf, "P"), 1), "best_jaccard_score")
 
 
-@query(f"""WITH {M}, {SIDES}, {OVER} SELECT resolution, a_comm, a_size,
+ALL_PAIRS = """
+sa AS (SELECT resolution, community AS a_comm, count(*) AS a_size FROM pa GROUP BY ALL), sb AS (SELECT resolution, community AS b_comm, count(*) AS b_size FROM pb GROUP BY ALL),
+ov AS (SELECT resolution, a.community AS a_comm, b.community AS b_comm, count(*) AS common FROM pa a JOIN pb b USING (resolution, name) GROUP BY ALL),
+jac AS (SELECT resolution, a_comm, a_size, b_comm, b_size, coalesce(common, 0)::DOUBLE / (a_size + b_size - coalesce(common, 0)) AS jaccard FROM sa JOIN sb USING (resolution) LEFT JOIN ov USING (resolution, a_comm, b_comm)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY resolution, a_comm ORDER BY jaccard DESC, b_comm) AS r FROM jac)"""
+
+
+@query(f"""WITH {M}, {SIDES}, {ALL_PAIRS} SELECT resolution, a_comm, a_size,
 max(b_comm) FILTER (r = 1) AS b_comm_1, round(max(jaccard) FILTER (r = 1), 6) AS jaccard_1, max(b_size) FILTER (r = 1) AS b_size_1,
 max(b_comm) FILTER (r = 2) AS b_comm_2, round(max(jaccard) FILTER (r = 2), 6) AS jaccard_2, max(b_size) FILTER (r = 2) AS b_size_2,
 max(b_comm) FILTER (r = 3) AS b_comm_3, round(max(jaccard) FILTER (r = 3), 6) AS jaccard_3, max(b_size) FILTER (r = 3) AS b_size_3 FROM rk WHERE r <= 3 GROUP BY ALL""")

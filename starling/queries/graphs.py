@@ -46,17 +46,10 @@ def pagerank_k(spark, sf):
     return rounded(G.pagerank(retweets(spark, sf), ROUNDS), "pagerank", digits=9)
 
 
-@query(f"""WITH RECURSIVE {ALL_SQL}, g AS (SELECT DISTINCT src, dst FROM raw WHERE rel = 5 AND CAST(substr(src, 3) AS BIGINT) % 11 < 3),
+@query(f"""WITH RECURSIVE {ALL_SQL}, g AS (SELECT DISTINCT src, dst FROM raw WHERE rel = 5),
 e AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), reach AS (SELECT a AS name, a AS other FROM e UNION SELECT name, b FROM reach JOIN e ON other = a)
 SELECT name, min(other) AS component FROM reach GROUP BY ALL""")
 def components(spark, sf):
-    g = E.edges(B.posts(spark, sf), [Relation.MENTION]).where(F.expr("CAST(substr(src, 3) AS BIGINT) % 11 < 3"))
-    return G.components(g)
-
-
-@query()
-def components_whole(spark, sf):
-    """Over all mention edges; ``components`` keeps to a part of the users, as its SQL does."""
     return G.components(E.edges(B.posts(spark, sf), [Relation.MENTION]))
 
 

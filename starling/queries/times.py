@@ -70,19 +70,18 @@ def date_maps(spark, sf):
 
 @query(f"WITH {P} SELECT 0 AS rel, 'u:' || uid AS src, 'u:' || rt_uid AS dst, date_trunc('week', created_at) AS bucket, count(*) AS weight FROM posts WHERE rt_uid IS NOT NULL GROUP BY ALL")
 def streaming_edges(spark, sf):
-    """The weekly edges by a stream over the bound posts, drained to a table."""
-    import uuid
-
-    from ..plans.checkpoint import written
-    from ..streaming.edges import bucketed
-
-    rows = written(B.posts(spark, sf))
-    path = rows.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(rows.schema).parquet(path)
-    name = f"edges_{uuid.uuid4().hex}"
-    q = bucketed(stream, "week", [Relation.RETWEET], delay="400 days").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    """The weekly edges by a stream over the bound posts: each week is appended to files once the watermark has passed it."""
+    from ..plans.checkpoint import new_path
+    from ..streaming.edges import drained
+
+    source, out = new_path(spark, "posts"), new_path(spark, "weeks")
+    rows = B.posts(spark, sf)
+    rows.write.parquet(source)
+    # A post without edges, long after all others, closes the last week.
+    last = rows.agg(F.max("created_at").alias("t"))
+    end = last.select(*(((F.col("t") + F.expr("INTERVAL 60 DAYS")) if f.name == "created_at" else F.lit(-1 if f.name == "in_reply_to_user_id" else None)).cast(f.dataType).alias(f.name) for f in rows.schema))
+    end.write.mode("append").parquet(source)
+    return drained(spark.readStream.schema(rows.schema).parquet(source), out, "week", [Relation.RETWEET], delay="7 days").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 @query()

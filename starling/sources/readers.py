@@ -53,16 +53,21 @@ def date_chunks(start: datetime, end: datetime, days: int = 2) -> Iterator[tuple
         start = nxt
 
 
-def id_chunks(df: DataFrame, column: str, size: int) -> list[tuple[int, int]]:
-    """[a, b) ranges of a numeric column that cover its least and largest value, both included."""
+def id_chunks(df: DataFrame, column: str, size: int) -> DataFrame:
+    """(start, end): [start, end) ranges of a numeric column that cover its least and largest value, both included; made where they are used, however many."""
     low, high = df.agg(F.min(column), F.max(column)).first()
-    return [] if low is None else [(a, min(a + size, high + 1)) for a in range(low, high + 1, size)]
-
-
-def sample(df: DataFrame, n: int, seed: int = 42, arrays: tuple[str, ...] = ()) -> DataFrame:
-    """n random rows, drawn alike for a seed and row contents; null arrays become empty."""
-    drawn = df.withColumn("_order", F.xxhash64(F.lit(seed), F.to_json(F.struct("*"))))
-    out = drawn.orderBy("_order").limit(n).drop("_order")
+    if low is None:
+        return df.sparkSession.range(0).select(F.col("id").alias("start"), F.col("id").alias("end"))
+    steps = df.sparkSession.range((high - low) // size + 1)
+    start = F.lit(low) + F.col("id") * size
+    return steps.select(start.alias("start"), F.least(start + size, F.lit(high + 1)).alias("end"))
+
+
+def sample(df: DataFrame, n: int, seed: int = 42, arrays: tuple[str, ...] = (), key: str | None = None) -> DataFrame:
+    """n random rows, drawn alike for a seed and row contents (or the key, by the MD5 of seed and key); null arrays become empty."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))) if key else F.xxhash64(F.lit(seed), F.to_json(F.struct("*")))
+    drawn = df.withColumn("_order", order)
+    out = drawn.orderBy("_order", *([key] if key else [])).limit(n).drop("_order")
     for a in arrays:
         out = out.withColumn(a, F.coalesce(F.col(a), F.array().cast(df.schema[a].dataType)))
     return out

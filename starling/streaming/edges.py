@@ -28,6 +28,13 @@ def bucketed(posts: DataFrame, method: str = "week", relations=SUMMED, delay: st
     return out.select("rel", "src", "dst", F.col("w.start").alias("bucket"), "weight")
 
 
+def drained(posts: DataFrame, path: str, method: str = "week", relations=SUMMED, delay: str = "1 day", **options) -> DataFrame:
+    """All that a stream of posts has now, appended to files under path (with its checkpoint beside them) and read back; buckets that the watermark has not passed wait in the state for the next run."""
+    rows = bucketed(posts, method, relations, delay, **options)
+    rows.writeStream.outputMode("append").format("parquet").option("path", f"{path}/edges").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return posts.sparkSession.read.schema(rows.schema).parquet(f"{path}/edges")
+
+
 def tenure_stream(membership: DataFrame) -> DataFrame:
     """(name, slice, community, tenure) for a stream of (name, slice long, community): labels kept over slices in a row; state is one row per node."""
 

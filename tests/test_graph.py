@@ -127,7 +127,7 @@ def test_components_of_all_mentions(spark):
     for r in edges.edges(B.posts(spark, sf), [Relation.MENTION]).select("src", "dst").distinct().collect():
         a, b = sorted((root(r.src), root(r.dst)))
         above[b] = a
-    assert rows(QUERIES["components_whole"](spark, sf)) == sorted((x, root(x)) for x in above)
+    assert rows(QUERIES["components"](spark, sf)) == sorted((x, root(x)) for x in above)
 
 
 def test_incremental_query_takes_every_week(spark):
