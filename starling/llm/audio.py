@@ -5,12 +5,13 @@ from the stored bytes. Features: polyphase resampling by a rational factor,
 overlapped log-mel filterbanks, and energy segmentation with hysteresis (a
 segment begins above the upper threshold and lasts until energy falls below the
 lower one). Filterbanks are cut into tiles of a fixed shape (frames x bands,
-the last tile padded), stored as flat lists that ``to_tensors`` turns into
-fixed-shape Arrow tensors, each with its time span.
+the last tile padded) and stored as fixed-shape Arrow tensors, each with its time
+span and the active segments that begin in it, in Arrow's stream format.
 
 Defined results: null is empty text, and an empty text is one block of zero
-bytes; repeated rows give equal values; an empty table gives no rows; other
-columns are ignored.
+bytes; repeated rows give equal values; a payload of any length is resampled and
+analysed in slices; an empty table gives no rows; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .common import arrow_map
 @dataclass(frozen=True)
 class AudioConfig:
     rate: int = 16_000  # of the stored samples
-    up: int = 1
-    down: int = 4
+    up: int = 3
+    down: int = 8
     taps: int = 8  # filter taps on each side, in units of max(up, down)
     frame: int = 256
     hop: int = 128
@@ -79,19 +80,35 @@ def low_pass(c: AudioConfig) -> np.ndarray:
     return padded.reshape(-1, c.up).T.astype(np.float32).copy()
 
 
+#: Outputs of one phase that are computed at once.
+OUTPUTS_AT_ONCE = 1 << 15
+
+
+def samples(x: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Samples a..b as numbers around zero (8-bit ones are shifted and scaled), zeros beyond the ends."""
+    part = x[max(0, a) : max(0, b)]
+    part = (part.astype(np.float32) - np.float32(128)) / np.float32(128) if x.dtype == np.uint8 else part.astype(np.float32)
+    return np.concatenate([np.zeros(min(b, 0) - min(a, 0), np.float32), part, np.zeros(max(0, b - max(a, len(x), 0)), np.float32)])
+
+
 def resample(x: np.ndarray, c: AudioConfig) -> np.ndarray:
-    """Output j is phase (j*down mod up) of the filter over the samples around j*down/up; no zero is ever multiplied in."""
+    """Output j is phase (j*down + reach) mod up of the filter over the samples up to (j*down + reach) div up; no zero is ever multiplied in.
+
+    Outputs of one phase lie `down` samples apart, so each is a product of
+    strided windows with that phase, a slice at a time.
+    """
     phases = low_pass(c)
     width, reach = phases.shape[1], c.taps * max(c.up, c.down)
-    n = -(-len(x) * c.up // c.down)
-    padded = np.concatenate([np.zeros(width, np.float32), x, np.zeros(width + reach, np.float32)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, width)
-    if c.up == 1:
-        first = width - reach
-        return np.ascontiguousarray(windows[first : first + n * c.down : c.down]) @ phases[0]
-    j = np.arange(n) * c.down + reach
-    at, phase = j // c.up, j % c.up
-    return np.einsum("ij,ij->i", windows[at + 1][:, ::-1], phases[phase])
+    out = np.zeros(-(-len(x) * c.up // c.down), np.float32)
+    for first in range(min(c.up, len(out))):
+        last, phase = divmod(first * c.down + reach, c.up)
+        number = len(range(first, len(out), c.up))
+        for a in range(0, number, OUTPUTS_AT_ONCE):
+            n = min(OUTPUTS_AT_ONCE, number - a)
+            begin = last + a * c.down - width + 1
+            windows = np.lib.stride_tricks.sliding_window_view(samples(x, begin, begin + (n - 1) * c.down + width), width)[:: c.down]
+            out[first + a * c.up : first + (a + n - 1) * c.up + 1 : c.up] = windows @ phases[phase][::-1]
+    return out
 
 
 @cache
@@ -143,8 +160,7 @@ def segments(energy: np.ndarray, c: AudioConfig) -> list[tuple[int, int]]:
 
 
 def analyse(payload: bytes, c: AudioConfig) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    x = (np.frombuffer(payload, np.uint8).astype(np.float32) - np.float32(128)) / np.float32(128)
-    mel, energy = log_mel(resample(x, c), c)
+    mel, energy = log_mel(resample(np.frombuffer(payload, np.uint8), c), c)
     return mel, segments(energy, c)
 
 
@@ -157,45 +173,68 @@ def seconds(frame: int, c: AudioConfig) -> float:
     return frame * c.hop * c.down / (c.rate * c.up)
 
 
-TILES_SQL = "doc_id long, tile int, start_s double, end_s double, log_mel array<float>, segments array<struct<start_s: double, end_s: double>>"
+SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+
+
+def tile_schema(c: AudioConfig) -> pa.Schema:
+    return pa.schema([("tile", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", pa.fixed_shape_tensor(pa.float32(), (c.tile, c.bands))), ("segments", pa.list_(SPAN))])
+
+
+def to_tensors(mel: np.ndarray, active: list[tuple[int, int]], c: AudioConfig) -> bytes:
+    """One row per tile (its time span, its log-mel tensor of tile x bands, the active segments that begin in it), as an Arrow stream."""
+    own = tiles(mel, c)
+    schema = tile_schema(c)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(own).ravel(), pa.float32()), c.tile * c.bands)
+    begins: list[list] = [[] for _ in own]
+    for a, b in active:
+        begins[a // c.tile].append({"start_s": seconds(a, c), "end_s": seconds(b, c)})
+    spans = [(seconds(k * c.tile, c), seconds(min(len(mel), (k + 1) * c.tile), c)) for k in range(len(own))]
+    columns = [pa.array(range(len(own)), pa.int32()), *(pa.array(x, pa.float64()) for x in zip(*spans, strict=True)), pa.ExtensionArray.from_storage(schema.field("log_mel").type, flat), pa.array(begins, pa.list_(SPAN))]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def from_tensors(stored: bytes) -> pa.Table:
+    with pa.ipc.open_stream(stored) as reader:
+        return reader.read_all()
+
+
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_tiles", pa.int64()), ("tensors", pa.binary())])
 
 
 def features(docs: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:
-    """One row per tile: its time span, its log-mel values (tile x bands, row by row) and the active segments that begin in it."""
+    """Per document: the number of its tiles and their tensors with time spans (``from_tensors`` reads them)."""
     c = config
-    span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("tile", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", pa.list_(pa.float32())), ("segments", pa.list_(span))])
 
     def rows(batches):
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 mel, active = analyse(from_wav(to_wav(payload_of(text)[1], c.rate)), c)
-                out = [(doc, k, seconds(k * c.tile, c), seconds(min(len(mel), (k + 1) * c.tile), c), t.ravel().tolist(), [{"start_s": seconds(a, c), "end_s": seconds(b, c)} for a, b in active if k * c.tile <= a < (k + 1) * c.tile]) for k, t in enumerate(tiles(mel, c))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, TILES_SQL)
-
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([-(-len(mel) // c.tile)], pa.int64()), pa.array([to_tensors(mel, active, c)], pa.binary())], schema=FEATURES)
 
-def to_tensors(rows: pa.Table, config: AudioConfig = AudioConfig()) -> pa.Table:
-    """rows of ``features`` with log_mel as a column of fixed-shape tensors (tile x bands)."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (config.tile, config.bands))
-    flat = pa.FixedSizeListArray.from_arrays(rows["log_mel"].combine_chunks().flatten().cast(pa.float32()), config.tile * config.bands)
-    return rows.set_column(rows.schema.get_field_index("log_mel"), "log_mel", pa.ExtensionArray.from_storage(kind, flat))
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), rows, "doc_id long, n_tiles long, tensors binary")
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("n_segments", pa.int64())])
-DIGEST_SQL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long"
+DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("n_segments", pa.int64()), ("tensor_bytes", pa.int64()), ("tensor_sha256", pa.string())])
+DIGEST_SQL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long, tensor_bytes long, tensor_sha256 string"
 
 
 def digest_row(doc: int | None, text: str | None, c: AudioConfig) -> tuple:
+    """The feature is read from the stored tensors: frames, means of the bands, and the active segments."""
     n, payload = payload_of(text)
     media = to_wav(payload, c.rate)
     back = from_wav(media)
     mel, active = analyse(back, c)
-    means = "".join(f"{round(20 * float(x)):+d}" for x in mel.mean(axis=0, dtype=np.float64))
-    spans = hashlib.sha256(",".join(f"{a}:{b}" for a, b in active).encode()).hexdigest()[:16]
-    feature = f"frames={len(mel)};mel={means};segments={len(active)};active={sum(b - a for a, b in active)};spans={spans}"
-    return doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(mel), len(active)
+    stored = to_tensors(mel, active, c)
+    read = from_tensors(stored).combine_chunks().to_batches()[0]
+    own = read.column(3).storage.flatten().to_numpy().reshape(-1, c.bands)[: len(mel)]
+    means = "".join(f"{round(20 * float(x)):+d}" for x in own.mean(axis=0, dtype=np.float64))
+    spans = read.column(4).flatten()
+    at = ",".join(f"{a:.6f}:{b:.6f}" for a, b in zip(spans.field(0).to_pylist(), spans.field(1).to_pylist(), strict=True))
+    feature = f"frames={len(own)};mel={means};segments={len(spans)};active={sum(b - a for a, b in active)};spans={hashlib.sha256(at.encode()).hexdigest()[:16]}"
+    return doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(mel), len(active), len(stored), hashlib.sha256(stored).hexdigest()
 
 
 def digests(docs: DataFrame, config: AudioConfig = AudioConfig()) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, materialize
 from .tokens import WordEncoder
 
 BLOCK = 256
@@ -41,6 +41,7 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def limits(hist: DataFrame, block: int = BLOCK) -> DataFrame:
     """For each length that occurs, taken as context limit: documents and tokens up to it, above it, and kept when cutting there."""
+    hist = materialize(hist)  # read twice below
     rows = hist.withColumn("block", F.expr(f"n_tokens div {block}")).withColumn("n_sum", F.col("n_docs") * F.col("n_tokens"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_sum").alias("t"))
     upto = Window.orderBy("block")

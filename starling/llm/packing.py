@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialize
 from .tokens import WordEncoder
 
+CLOSURE_BYTES = 1 << 20
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 PLACED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -186,9 +187,13 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
 def place(pieces: DataFrame, made: Plan) -> DataFrame:
     """Give each ranked piece (columns of PIECES, rank) its sequence and offset."""
     runs = np.array(made.runs or [(0, 0, 0, 1, 0)], np.int64)
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]  # a run for each length, step and class of room: bounded by capacity squared
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    # A run for each length and class of room: at most capacity squared, whatever the corpus. Small ones go with the task, larger ones are broadcast.
+    shared = pieces.sparkSession.sparkContext.broadcast(runs) if runs.nbytes > CLOSURE_BYTES else None
+    runs = None if shared else runs
 
-    def placed(batches):
+    def placed(batches, runs=runs):
+        runs = shared.value if shared else runs
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             first = np.searchsorted(runs[:, 0], length, "left")

@@ -6,8 +6,9 @@ trusted seeds, hosts whose pages mostly fall under block rules are blocked
 seeds. Trust runs from the trusted seeds along links (personalised PageRank);
 distrust runs from the blocked seeds against the links, to those that point at
 them. Both are iterated in one join and one sum over the edges of the host
-graph, a fixed number of rounds, and a host is blocked if its distrust is at
-least ``share`` of its trust and distrust together and at least ``floor``
+graph, until no host's rank changes by more than ``TOLERANCE`` of an even share
+(each round shrinks what is missing by the damping, so this ends), and a host is
+blocked if its distrust is at least ``share`` of its trust and distrust together and at least ``floor``
 times what an even spread would give it.
 
 Only DataFrame functions are used. Defined results: a null url, or one without
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 Rule = tuple[str, str]  # (verdict, "host/path")
+#: Ranks have settled if they change by less than this share of 1 / number of hosts, and rounds between two looks.
+TOLERANCE, STEPS = 1e-4, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query.
 RULES: tuple[Rule, ...] = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -58,8 +61,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """hosts (host, trust0, distrust0: seed shares) with trust and distrust after `rounds` rounds."""
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float) -> DataFrame:
+    """hosts (host, trust0, distrust0: seed shares) with trust and distrust once they have settled."""
     edges = materialize(edges)
     start = hosts.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trust0").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("distrust0").alias("seed")))).alias("x")).select("host", "x.kind", "x.seed")
     if edges.isEmpty():
@@ -72,19 +75,29 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float, rounds: int) -
     seeds = materialize(start.unionByName(ends.distinct().withColumn("seed", F.lit(0.0))).groupBy("host", "kind").agg(F.max("seed").alias("seed")))
     has_links = shares.select(F.col("_kind").alias("kind"), F.col("src").alias("host")).distinct().withColumn("linked", F.lit(True))
     rank = materialize(seeds.join(has_links, ["kind", "host"], "left").select("host", "kind", "seed", F.coalesce("linked", F.lit(False)).alias("linked"), F.col("seed").alias("rank")))
-    for step in range(rounds):
-        sent = rank.where("linked").join(shares, (F.col("host") == F.col("src")) & (F.col("kind") == F.col("_kind"))).groupBy("_kind", "dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        # What hosts without links hold goes back to the seeds.
-        loose = rank.where(~F.col("linked")).groupBy(F.col("kind").alias("_k")).agg(F.sum("rank").alias("loose"))
-        rank = rank.join(sent, (F.col("host") == F.col("dst")) & (F.col("kind") == F.col("_kind")), "left").join(F.broadcast(loose), F.col("kind") == F.col("_k"), "left")  # two rows at most
-        rank = rank.select("host", "kind", "seed", "linked", ((1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("seed") * F.coalesce("loose", F.lit(0.0)))).alias("rank"))
-        if step % 4 == 3 or step == rounds - 1:
-            rank = materialize(rank)
+    number = rank.select("host").distinct().count()
+    while True:
+        before = rank
+        for _ in range(STEPS):
+            rank = stepped(rank, shares, damping)
+        rank = materialize(rank)
+        moved = rank.join(before.select("host", "kind", F.col("rank").alias("was")), ["host", "kind"]).agg(F.max(F.abs(F.col("rank") - F.col("was"))).alias("m")).first().m
+        if moved is None or moved * number <= TOLERANCE:
+            break
     value = lambda k: F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k)
     return rank.groupBy("host").agg(value("trust"), value("distrust"))
 
 
-def host_verdicts(judged: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 12, share: float = 0.5, floor: float = 0.5) -> DataFrame:
+def stepped(rank: DataFrame, shares: DataFrame, damping: float) -> DataFrame:
+    """One round of both ranks."""
+    sent = rank.where("linked").join(shares, (F.col("host") == F.col("src")) & (F.col("kind") == F.col("_kind"))).groupBy("_kind", "dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+    # What hosts without links hold goes back to the seeds.
+    loose = rank.where(~F.col("linked")).groupBy(F.col("kind").alias("_k")).agg(F.sum("rank").alias("loose"))
+    rank = rank.join(sent, (F.col("host") == F.col("dst")) & (F.col("kind") == F.col("_kind")), "left").join(F.broadcast(loose), F.col("kind") == F.col("_k"), "left")  # two rows at most
+    return rank.select("host", "kind", "seed", "linked", ((1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("seed") * F.coalesce("loose", F.lit(0.0)))).alias("rank"))
+
+
+def host_verdicts(judged: DataFrame, edges: DataFrame, damping: float = 0.85, share: float = 0.5, floor: float = 0.5) -> DataFrame:
     """(host, trust, distrust, blocked) for every host of judged (host, by_rule) or of an edge."""
     count = lambda k: F.count_if(F.col("by_rule") == k)
     hosts = judged.where(F.col("host") != "").groupBy("host").agg(F.count("*").alias("n"), count("allow").alias("a"), count("block").alias("b"))
@@ -92,7 +105,7 @@ def host_verdicts(judged: DataFrame, edges: DataFrame, damping: float = 0.85, ro
     all_hosts = hosts.agg(F.sum("t").alias("ts"), F.sum("d").alias("ds"))
     seeded = hosts.withColumn("one", F.lit(1)).join(F.broadcast(all_hosts.withColumn("one", F.lit(1))), "one")
     seeded = seeded.select("host", F.when(F.col("ts") > 0, F.col("t") / F.col("ts")).otherwise(0.0).alias("trust0"), F.when(F.col("ds") > 0, F.col("d") / F.col("ds")).otherwise(0.0).alias("distrust0"))
-    ranks = materialize(propagate(seeded, edges, damping, rounds))
+    ranks = materialize(propagate(seeded, edges, damping))
     number = ranks.count()
     both = F.col("trust") + F.col("distrust")
     blocked = (F.col("distrust") > 0) & (F.col("distrust") >= share * both) & (F.col("distrust") * number >= floor)
@@ -112,8 +125,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, **options) -> DataF
 
 
 
-def judge_sql(rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 12, share: float = 0.5, floor: float = 0.5) -> str:
-    """The verdicts in SQL (DuckDB) over the view pages, the rounds written out one after another."""
+def judge_sql(rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 40, share: float = 0.5, floor: float = 0.5) -> str:
+    """The verdicts in SQL (DuckDB) over the view pages; as SQL cannot stop by itself, `rounds` rounds are written out one after another."""
     cases = {"rule": "", "by_rule": ""}
     for kind, text in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         name, _, tail = text.partition("/")
@@ -123,7 +136,7 @@ def judge_sql(rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: in
     steps = ["r0 AS (SELECT kind, host, seed, seed AS rank FROM seeds)"]
     for k in range(rounds):
         steps.append(
-            f"r{k + 1} AS (SELECT r.kind, r.host, r.seed, (1 - {damping}::DOUBLE) * r.seed + {damping}::DOUBLE * (coalesce(got, 0) + r.seed * coalesce(loose, 0)) AS rank FROM r{k} r"
+            f"r{k + 1} AS MATERIALIZED (SELECT r.kind, r.host, r.seed, (1 - {damping}::DOUBLE) * r.seed + {damping}::DOUBLE * (coalesce(got, 0) + r.seed * coalesce(loose, 0)) AS rank FROM r{k} r"
             f" LEFT JOIN (SELECT s.kind, s.dst AS host, sum(rank * s.share) AS got FROM r{k} x JOIN shares s ON x.kind = s.kind AND x.host = s.src GROUP BY ALL) g ON g.kind = r.kind AND g.host = r.host"
             f" LEFT JOIN (SELECT x.kind, sum(rank) AS loose FROM r{k} x WHERE NOT EXISTS (SELECT 1 FROM shares s WHERE s.kind = x.kind AND s.src = x.host) GROUP BY ALL) l ON l.kind = r.kind)"
         )

@@ -190,6 +190,69 @@ def test_url_rules_and_propagation(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def plain_ranks(links, seeds, backwards, damping=0.85):
+    """Personalised PageRank by plain power iteration."""
+    if backwards:
+        links = [(b, a, n) for a, b, n in links]
+    hosts = sorted({h for a, b, _ in links for h in (a, b)} | set(seeds))
+    out = {h: sum(n for a, _, n in links if a == h) for h in hosts}
+    rank = {h: seeds.get(h, 0.0) for h in hosts}
+    for _ in range(400):
+        loose = sum(rank[h] for h in hosts if not out[h])
+        new = {h: (1 - damping) * seeds.get(h, 0.0) + damping * loose * seeds.get(h, 0.0) for h in hosts}
+        for a, b, n in links:
+            new[b] += damping * rank[a] * n / out[a]
+        rank = new
+    return rank
+
+
+def test_propagation_equals_plain_power_iteration(spark):
+    rng = random.Random(12)
+    hosts = ["good.org", "fine.org", "bad.net", "worse.net", *(f"h{i}.test" for i in range(14)), "far.test"]
+    pages, links = [], {}
+    for i in range(80):
+        src = rng.choice(hosts[:-1])
+        to = [rng.choice(hosts) for _ in range(rng.randint(0, 4))]
+        pages.append((i, f"http://{src}/fr/p{i}", "".join(f'<a href="https://{h}/x">' for h in to)))
+        for h in to:
+            if h != src:
+                links[src, h] = links.get((src, h), 0) + 1
+    pages += [(300 + i, f"http://{h}/fr/", "") for i, h in enumerate(hosts[:4])]
+    pages += [(100 + i, f"http://c{i}.test/", f"<a href='http://c{i + 1}.test/'>") for i in range(30)]  # a long chain
+    links |= {(f"c{i}.test", f"c{i + 1}.test"): 1 for i in range(30)}
+    pages.append((200, "http://c30.test/", "<a href='//bad.net'>"))
+    links["c30.test", "bad.net"] = 1
+    got = {r.host: (r.trust, r.distrust, r.verdict) for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    rows = [(a, b, n) for (a, b), n in links.items()]
+    seen = {p[1].split("/")[2] for p in pages}
+    seed = lambda end: dict.fromkeys(own := [h for h in seen if h.endswith(end)], 1 / len(own))
+    trust, distrust = plain_ranks(rows, seed(".org"), False), plain_ranks(rows, seed(".net"), True)
+    number = len(set(trust) | set(distrust) | seen)
+    for h, (t, d, verdict) in got.items():
+        assert t == pytest.approx(trust.get(h, 0), abs=1e-3 / number) and d == pytest.approx(distrust.get(h, 0), abs=1e-3 / number)
+        if not h.endswith((".org", ".net")):
+            assert (verdict == "block") == (d > 0 and d >= 0.5 * (t + d) and d * number >= 0.5)
+    assert got["c18.test"][1] > 0 and {v for _, _, v in got.values()} == {"allow", "block"}
+
+
+CLASHING = ["key", "m", "taken", "left", "size", "ends", "own", "mark", "other", "_id", "_n", "name", "doubtful", "md5", "bucket"]
+
+
+def test_clashing_columns_repeats_and_repeated_ids(spark):
+    """Columns that an operator might use itself stay as they are; rows that share an id are judged by their own text."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (8, "c " * 60_000), (9, "c " * 60_000 + "d"), (5, a), (None, a), (10, None), (10, None), (11, "")]
+    df = spark.createDataFrame([(i, t, "s", *[f"k{n}" for n in range(len(CLASHING))]) for i, t in rows], "doc_id int, text string, source string, " + ", ".join(f"{c} string" for c in CLASHING))
+    got = sorted(((r.doc_id, r.component_id) for r in similarity.groups(df, 3, 90, 100).collect()), key=str)
+    assert got == sorted([(5, 5)] * 3 + [(6, 5), (7, 5), (8, 8), (9, 9), (None, None), (10, 10), (10, 10), (11, 11)], key=str)
+    kept = similarity.deduplicated(df, 3, 90, 100)
+    assert kept.columns == df.columns and sorted(((r.doc_id, (r.text or "")[:2]) for r in kept.collect()), key=str) == sorted([(5, "a0"), (5, "b0"), (8, "c "), (9, "c "), (None, "a0"), (10, ""), (11, "")], key=str)
+    mixed = mixing.mixed(df, length_col=None)
+    assert mixed.columns == df.columns
+    assert mixed.select(F.sum(mixing.words(F.col("text")))).first()[0] == mixing.mix(df).agg(F.sum("taken")).first()[0]
+    assert all([r[c] for c in CLASHING] == [f"k{n}" for n in range(len(CLASHING))] for r in mixed.collect())
+
+
 def page(i, title, body, extra=""):
     menu = "".join(f"<li><a href='/x{j}'>item {j}</a></li>" for j in range(3 + i % 3))
     return f"<html><head><title>{title}</title><style>p{{}}</style></head><body><nav><ul>{menu}</ul></nav><div class='ad'>Buy</div>{body}{extra}<footer>&copy; site</footer></body></html>"

@@ -5,7 +5,6 @@ import time
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from starling.llm import audio, pii
@@ -85,17 +84,82 @@ def test_audio_round_trip_and_digest(spark):
     assert audio.digests(df.limit(0)).count() == 0
 
 
-def test_tensors_have_a_fixed_shape(spark):
+def test_tensors_have_a_fixed_shape_and_spans(spark):
     c = audio.AudioConfig()
-    rows = audio.features(spark.createDataFrame([(1, "ab" * 40_000, "s", "x"), (2, "", "s", "x")], TEXTS)).toPandas()
-    assert (rows["log_mel"].map(len) == c.tile * c.bands).all() and (rows["end_s"] > rows["start_s"]).all()
-    schema = pa.schema([("doc_id", pa.int64()), ("log_mel", pa.list_(pa.float32()))])
-    t = audio.to_tensors(pa.Table.from_pandas(rows[["doc_id", "log_mel"]], schema=schema, preserve_index=False))
-    assert t.schema.field("log_mel").type.shape == [c.tile, c.bands]
+    texts = ["ab" * 40_000, "", None, "quiet " * 3000 + "\u00ff~" * 9000]
+    got = audio.features(spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(texts)], TEXTS)).collect()
+    for r in got:
+        t = audio.from_tensors(r.tensors)
+        assert t.schema.field("log_mel").type.shape == [c.tile, c.bands] and t.num_rows == r.n_tiles
+        mel, active = audio.analyse(audio.payload_of(texts[r.doc_id])[1], c)
+        values = t["log_mel"].combine_chunks().chunk(0).storage.flatten().to_numpy() if hasattr(t["log_mel"].combine_chunks(), "chunk") else t["log_mel"].combine_chunks().storage.flatten().to_numpy()
+        assert (values.reshape(-1, c.bands)[: len(mel)] == mel).all() and not values.reshape(-1, c.bands)[len(mel) :].any()
+        starts, ends = t["start_s"].to_pylist(), t["end_s"].to_pylist()
+        assert starts[1:] == ends[:-1] and ends[-1] == pytest.approx(audio.seconds(len(mel), c))
+        segments = [s for own in t["segments"].to_pylist() for s in own]
+        assert [(s["start_s"], s["end_s"]) for s in segments] == [(audio.seconds(a, c), audio.seconds(b, c)) for a, b in active]
+
+
+def plain_analysis(payload, c):
+    """Resampling by inserted zeros, Fourier sums and triangles, and segments frame by frame."""
+    x = [(v - 128) / 128 for v in payload]
+    reach = c.taps * max(c.up, c.down)
+    t = np.arange(-reach, reach + 1)
+    h = np.sinc(t / max(c.up, c.down)) * np.hanning(len(t) + 2)[1:-1]
+    h *= c.up / h.sum()
+    dense = np.zeros(len(x) * c.up + 2 * reach + 1)
+    dense[reach : reach + len(x) * c.up : c.up] = x
+    y = [float(np.dot(dense[j * c.down : j * c.down + 2 * reach + 1], h[::-1])) for j in range(-(-len(x) * c.up // c.down))]
+    frames = 1 + max(0, -(-(len(y) - c.frame) // c.hop))
+    y += [0.0] * ((frames - 1) * c.hop + c.frame - len(y))
+    rate = c.rate * c.up / c.down
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = 700 * (10 ** (np.linspace(0, mel(rate / 2), c.bands + 2) / 2595) - 1)
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(c.frame // 2 + 1), np.arange(c.frame)) / c.frame)
+    bands, energy = [], []
+    for k in range(frames):
+        own = np.array(y[k * c.hop : k * c.hop + c.frame])
+        power = np.abs(wave @ (own * 0.5 * (1 - np.cos(2 * np.pi * np.arange(c.frame) / c.frame)))) ** 2
+        f = np.arange(c.frame // 2 + 1) * rate / c.frame
+        bands.append([np.log10(sum(p * max(0, min((v - a) / (m - a), (z - v) / (z - m))) for p, v in zip(power, f, strict=True)) + 1e-6) for a, m, z in zip(edges, edges[1:], edges[2:], strict=False)])
+        energy.append(np.log10(np.mean(own**2) + 1e-9))
+    return np.array(bands), np.array(energy)
+
+
+def plain_segments(energy, c):
+    quiet, loud = np.quantile(energy, [0.1, 0.9])
+    out, begun = [], None
+    for k, e in enumerate(energy):
+        if begun is None and loud > quiet and e >= quiet + c.high * (loud - quiet):
+            begun = k
+        elif begun is not None and e < quiet + c.low * (loud - quiet):
+            out.append((begun, k))
+            begun = None
+    return out + ([(begun, len(energy))] if begun is not None else [])
+
+
+@pytest.mark.parametrize("c", [audio.AudioConfig(), audio.AudioConfig(up=1, down=4), audio.AudioConfig(up=5, down=3)])
+def test_features_equal_a_plain_recomputation(c):
+    rng = random.Random(3)
+    for text in ["", "a", "abc " * 100, "".join(rng.choice("abcdef ~é\n") for _ in range(9000)), "loud\u00ff" * 400 + " " * 2500 + "~z" * 1500]:
+        payload = audio.payload_of(text)[1]
+        mel, energy = audio.log_mel(audio.resample(np.frombuffer(payload, np.uint8), c), c)
+        want, power = plain_analysis(payload, c)
+        assert mel == pytest.approx(want, abs=0.02) and energy == pytest.approx(power, abs=0.02)
+        assert audio.segments(energy, c) == plain_segments(energy, c)
+
+
+def test_slices_do_not_show(monkeypatch):
+    x = np.random.default_rng(1).integers(0, 256, 40_001).astype(np.uint8)
+    for c in (audio.AudioConfig(), audio.AudioConfig(up=1, down=4)):
+        whole = audio.resample(x, c)
+        monkeypatch.setattr(audio, "OUTPUTS_AT_ONCE", 37)
+        assert audio.resample(x, c) == pytest.approx(whole, abs=1e-5)
+        monkeypatch.undo()
 
 
 def test_resampling_keeps_a_low_tone_and_stops_a_high_one():
-    c = audio.AudioConfig()
+    c = audio.AudioConfig(up=1, down=4)
     t = np.arange(16_000) / 16_000
     tone = lambda f: np.abs(audio.resample(np.sin(2 * np.pi * f * t).astype(np.float32), c)[200:-200]).max()
     assert tone(300) == pytest.approx(1, abs=0.05) and tone(5000) < 0.05
