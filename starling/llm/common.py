@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,10 +31,23 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system: workers live on and other stages share the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with bounded batches; fn takes and yields record batches."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def mapped(batches):
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(mapped, schema)
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:

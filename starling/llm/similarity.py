@@ -37,7 +37,6 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +49,7 @@ CACHE_WORDS = 400_000
 FREQUENT = 1 << 20
 LEAST_FREQUENT = 8
 #: Shingles a task gathers before it counts them.
-GATHER = 4_000_000
+GATHER = 2_000_000
 #: Longs in a signature, and stars besides the one around the most connected set.
 SIGNATURE = 8
 STARS = 4
@@ -468,9 +467,9 @@ def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     gone = rows.where(F.col("times") > 1).select("doc_id").unionByName(rows.select("doc_id", "key").join(kept, ["doc_id", "key"], "left_anti").select("doc_id"))
     doubtful = bit_filter(gone.select(F.xxhash64("doc_id").alias("h")), "h")
 
-    @F.pandas_udf("boolean")
-    def may_go(h: pd.Series) -> pd.Series:
-        return pd.Series(in_filter(doubtful, h.to_numpy(np.int64).view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def may_go(h: pa.Array) -> pa.Array:
+        return pa.array(in_filter(doubtful, h.to_numpy().view(np.uint64)))
 
     mark, own, key = fresh(docs, "mark"), fresh(docs, "own"), fresh(docs, "key")
     own_id = F.col("doc_id").cast("long")

@@ -235,7 +235,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = 256.0
     best = None
     for own, _ in shares:
         work = packed.join(F.broadcast(asked.where(F.col("q_block").isin(own))), "dim")
-        found = work.mapInArrow(scored, "q_block long, q_row long, query_id long, vec_id long, score long")
+        found = arrow_map(work, scored, "q_block long, q_row long, query_id long, vec_id long, score long")
         best = found if best is None else best.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
