@@ -32,6 +32,7 @@ columns, whatever their names, do not matter to ``score`` and stay in
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -45,6 +46,7 @@ from .common import arrow_map
 LEVEL = 7
 #: Both dictionaries end with this and it follows each window: alone, so few bytes would be stored raw, and no match may begin in the last eight.
 CARRIER = bytes(range(128, 192))
+BETWEEN = b" " + CARRIER + b" "
 #: Scores from here on mean toxic.
 THRESHOLD = 0.7
 #: Windows compressed in one call.
@@ -71,9 +73,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def windows(text: str | None, words: int) -> list[bytes]:
-    """Runs of `words` words between blanks, one after the other; the last one may be shorter."""
-    own = words_of(text)
-    return [b" " + b" ".join(own[i : i + words]) + b" " for i in range(0, len(own), words)]
+    """Runs of `words` words, a blank between them, one after the other; the last one may be shorter."""
+    return re.findall(rb"[^ ]+(?: [^ ]+){0,%d}" % (words - 1), b" ".join(words_of(text)))
 
 
 class Scorer:
@@ -100,10 +101,10 @@ class Scorer:
         """Bytes that the toxic dictionary saves on each window against the ordinary one."""
         out = [np.zeros(0, np.int64)]
         for i in range(0, len(own), AT_ONCE):
-            part = [w + CARRIER for w in own[i : i + AT_ONCE]]
-            sizes = np.fromiter(map(len, part), "<u8", len(part))
+            part = own[i : i + AT_ONCE]
+            sizes = np.fromiter(map(len, part), np.int64, len(part)) + len(BETWEEN)
             places = np.column_stack([np.cumsum(sizes) - sizes, sizes]).astype("<u8")
-            texts = self.buffers(b"".join(part), places.tobytes())
+            texts = self.buffers(b" " + BETWEEN.join(part) + BETWEEN, places.tobytes())  # each window between blanks, then CARRIER
             out.append(self.lengths(self.ordinary, texts) - self.lengths(self.toxic, texts))
         return np.concatenate(out)
 
@@ -140,7 +141,7 @@ def chunks(parts: list[bytes], n: int = 16) -> list[bytes]:
     return [b"".join(parts[i : i + n]) for i in range(0, len(parts), n)]
 
 
-def train(toxic: list[str], ordinary: list[str], words: int = 2, rounds: int = 1, base_size: int = 64 << 10, first_size: int = 32 << 10, sizes: tuple[int, int] = (3 << 10, 4 << 10)) -> Model:
+def train(toxic: list[str], ordinary: list[str], words: int = 2, rounds: int = 1, base_size: int = 32 << 10, first_size: int = 32 << 10, sizes: tuple[int, int] = (2 << 10, 4 << 10)) -> Model:
     """Fit dictionaries, gain and weights on labelled texts (exact copies count once)."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     if not toxic or not ordinary:
@@ -167,7 +168,7 @@ def train(toxic: list[str], ordinary: list[str], words: int = 2, rounds: int = 1
                 best = []
                 for doc in docs:
                     gains = scorer.gains(doc)
-                    best += [doc[i] for i in np.argsort(-gains, kind="stable")[:most] if gains[i] >= LEAST_GAIN]
+                    best += [b" " + doc[i] + b" " for i in np.argsort(-gains, kind="stable")[:most] if gains[i] >= LEAST_GAIN]
                 own.append([best[i] for i in rng.permutation(len(best))])
             kept.append(own)
         models = [made([chunks(x) for x in own], sizes, 24, 8) for own in kept]
