@@ -50,6 +50,13 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(mapped, schema)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver forget plans that are no longer used, so that executors delete their shuffle files."""
+    gc.collect()
+    if jvm := getattr(spark.sparkContext, "_jvm", None):
+        jvm.System.gc()
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 

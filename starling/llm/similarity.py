@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bit_filter, fresh, heavy_keys, in_filter, join_hot, materialize, mix64
+from .common import arrow_map, bit_filter, fresh, heavy_keys, in_filter, join_hot, materialize, mix64, tidy
 from .components import components
 
 CACHE_WORDS = 400_000
@@ -375,6 +375,7 @@ def scan(entries: DataFrame, rule: Rule) -> DataFrame:
 def heavy_links(texts: DataFrame, begun: DataFrame, k: int, rule: Rule) -> DataFrame:
     entries = begun.where(F.size("lists") > 0).select("name", "n", "quiet", F.posexplode("lists").alias("at", "entry")).withColumn("at", F.col("at").cast("long"))
     found = materialize(scan(entries.where(F.col("at") < F.col("quiet")), rule))
+    tidy(begun.sparkSession)
     near = found.where(F.col("at") < 0).select("a", "b", "n_a", "n_b")
     # Frequent entries that two different sets have: counted where the rows are, then joined.
     loud = entries.where(F.col("at") >= F.col("quiet")).select("entry", "name", "n", "at")
@@ -429,6 +430,7 @@ def verified(pairs: DataFrame, begun: DataFrame, texts: DataFrame, k: int, rule:
         side = lambda key, x: own.select(F.col("name").alias(key), F.col("sign").alias(x))
         pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(near_signs("x", "y", F.col("n_a"), F.col("n_b"), common)).select("a", "b", "n_a", "n_b")
     pairs = materialize(pairs)
+    tidy(begun.sparkSession)
     if pairs.isEmpty():
         return pairs.select("a", "b")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
@@ -450,7 +452,9 @@ def verified(pairs: DataFrame, begun: DataFrame, texts: DataFrame, k: int, rule:
     wanted = bit_filter(ids.select(F.xxhash64("doc_id").alias("h")), "h")
     # One document of each set is read again; rows that repeat it give the same members.
     sets = full_sets(texts, k, wanted).join(ids.withColumnRenamed("doc_id", "of"), "name").where(F.col("doc_id") == F.col("of")).groupBy("name").agg(F.first("members").alias("members"))
-    return compared(likely, materialize(sets), rule)
+    sets = materialize(sets)
+    tidy(begun.sparkSession)
+    return compared(likely, sets, rule)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
