@@ -1,152 +1,165 @@
 """Community detection: Leiden for CPM and modularity, hierarchical, multislice and incremental.
 
+One algorithm, in rounds. In a round every node looks at the weight to each
+neighbouring community (and at one of its own) and proposes its best move. The
+moves of a half of the nodes, drawn anew each round by bits of a hash of the
+name, are made together if that raises the quality; if not, only moves that share
+no community are made, whose gains add up. Either way the quality rises, so the
+rounds end where no move of a node gains anything. Then each community is refined
+from single nodes by the same rounds inside it, the parts become the nodes of a
+smaller graph, and so on until nothing merges; all of it is done again from the
+result until that stays as it is.
+
 An optimal community never spans connected components, so a graph is split into
-components first. Components up to a checked number of edges are solved whole,
-one task each (local moving, refinement, aggregation until nothing changes).
-Larger ones go through rounds of local moving on DataFrames: each node looks at
-the weight to every neighbouring community, half of the nodes (drawn anew by a
-hash each round) take their best move, and the graph of communities is built
-and moved again, until it is small enough to be solved whole.
+components first. Components up to ``local_edges`` edges are solved in one task
+each, on arrays; larger ones by the same rounds on DataFrames, all resolutions at
+once. Both take the same steps, so where a component is solved does not show in
+the result.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checkpoint import written
 from .graph import LOCAL_EDGES, components
 from .temporal import inherit_labels, tenure, with_bonus
 
-
-class Graph:
-    """An undirected weighted graph with node sizes; loops are kept apart."""
-
-    def __init__(self, n: int, edges: Iterable[tuple[int, int, float]], sizes=None, loops=None):
-        self.n, self.sizes = n, np.ones(n) if sizes is None else np.asarray(sizes, float)
-        self.near: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
-        self.loops = np.zeros(n) if loops is None else np.asarray(loops, float)
-        for a, b, w in edges:
-            if a == b:
-                self.loops[a] += w
-            else:
-                self.near[a][b] += w
-                self.near[b][a] += w
-        self.strength = np.array([sum(x.values()) for x in self.near]) + 2 * self.loops
-        self.total = self.strength.sum() / 2
-
-
-class Quality:
-    """Gain of moves: CPM charges gamma * size * size, modularity gamma * strength * strength / 2m."""
-
-    def __init__(self, g: Graph, gamma: float, objective: str):
-        if objective not in ("cpm", "modularity"):
-            raise ValueError(f"unsupported objective {objective!r}")
-        self.mass = g.sizes if objective == "cpm" else g.strength
-        self.rate = gamma if objective == "cpm" else gamma / (2 * g.total) if g.total else 0.0
-
-    def value(self, g: Graph, label: np.ndarray) -> float:
-        inside = g.loops.sum() + sum(w for a in range(g.n) for b, w in g.near[a].items() if a < b and label[a] == label[b])
-        mass = np.bincount(label, self.mass)
-        own = self.mass**2
-        return float(inside - self.rate * ((mass**2).sum() - own.sum()) / 2)
-
-
-def move(g: Graph, q: Quality, label: np.ndarray, rng: np.random.Generator, within: np.ndarray | None = None) -> bool:
-    """Local moving with a queue, in place; within: nodes may only join communities of their own part."""
-    mass = np.bincount(label, q.mass, minlength=g.n)
-    members = np.bincount(label, minlength=g.n)
-    empty = [c for c in range(g.n) if members[c] == 0]
-    queue, queued, changed, at = rng.permutation(g.n).tolist(), np.ones(g.n, bool), False, 0
-    while at < len(queue):
-        v = queue[at]
-        at += 1
-        queued[v] = False
-        own, m = label[v], q.mass[v]
-        to: dict[int, float] = defaultdict(float)
-        for u, w in g.near[v].items():
-            if within is None or within[u] == within[v]:
-                to[label[u]] += w
-        stay = to.get(own, 0.0) - q.rate * m * (mass[own] - m)
-        best, gain = own, stay
-        for c in sorted(to):
-            if c != own and (value := to[c] - q.rate * m * mass[c]) > gain + 1e-12:
-                best, gain = c, value
-        if gain < -1e-12 and members[own] > 1 and empty:
-            best = empty.pop()
-        if best != own:
-            mass[own] -= m
-            members[own] -= 1
-            if not members[own]:
-                empty.append(own)
-            mass[best] += m
-            members[best] += 1
-            label[v] = best
-            changed = True
-            for u in g.near[v]:
-                if label[u] != best and not queued[u]:
-                    queued[u] = True
-                    queue.append(u)
-    return changed
-
-
-def compact(label: np.ndarray) -> np.ndarray:
-    return np.unique(label, return_inverse=True)[1]
+#: A move must gain more than this; values are rounded to as many digits before they are compared.
+LEAST, DIGITS = 1e-9, 9
+#: Rounds use one bit of a node's hash after another.
+BITS = 60
+
+
+def hashes(names, seed: int) -> np.ndarray:
+    """As ``hashed`` on a column."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(f"{seed}:{x}".encode(), seed=42) & (1 << BITS) - 1 for x in names], np.int64)
+
+
+def hashed(name, seed: int):
+    return F.xxhash64(F.concat(F.lit(f"{seed}:"), name.cast("string"))).bitwiseAND(F.lit((1 << BITS) - 1))
+
+
+def value(label: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, mass: np.ndarray, rate: float) -> float:
+    """Quality up to a constant; edges in both directions, without loops."""
+    return float(w[label[u] == label[v]].sum() / 2 - rate / 2 * (np.bincount(label, mass) ** 2).sum())
+
+
+def climb(label: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, mass: np.ndarray, rate: float, bits: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Rounds of moves until none gains. Labels are numbers of nodes, or n more for a community that a node opened."""
+    n, r, changed = len(mass), 0, False
+    every = np.arange(n)
+    quality = value(label, u, v, w, mass, rate)
+    while True:
+        heavy, members = np.bincount(label, mass, 2 * n), np.bincount(label, minlength=2 * n)
+        keys, at = np.unique(u * (2 * n) + label[v], return_inverse=True)
+        to = np.bincount(at, w, len(keys))
+        node, c = keys // (2 * n), keys % (2 * n)
+        own = label[node] == c
+        worth = np.round(to - rate * mass[node] * (heavy[c] - np.where(own, mass[node], 0)), DIGITS)
+        stay = np.round(-rate * mass * (heavy[label] - mass), DIGITS)
+        stay[node[own]] = worth[own]
+        node, c, worth = node[~own], c[~own], worth[~own]
+        order = np.lexsort((c, -worth, node))
+        node, c, worth = node[order], c[order], worth[order]
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, int)
+        best, target = np.full(n, -np.inf), label.copy()
+        best[node[first]], target[node[first]] = worth[first], c[first]
+        alone = (members[n + every] == 0) & (members[label] > 1) & (best < 0)
+        best[alone], target[alone] = 0.0, (n + every)[alone]
+        gain = np.round(best - stay, DIGITS)
+        movers = gain > LEAST
+        if not movers.any():
+            return label, changed
+        changed = True
+        active = movers & ((bits >> (r % BITS)) & 1 == 1)
+        r += 1
+        if active.any():
+            new = np.where(active, target, label)
+            better = value(new, u, v, w, mass, rate)
+            if better > quality + LEAST:
+                label, quality = new, better
+                continue
+        # Moves that are the best one of both communities they touch.
+        m = np.flatnonzero(movers)
+        m = m[np.lexsort((m, bits[m], -gain[m]))]
+        rank, least = np.arange(len(m)), np.full(2 * n, len(m))
+        for side in (label[m], target[m]):
+            np.minimum.at(least, side, rank)
+        m = m[(least[label[m]] == rank) & (least[target[m]] == rank)]
+        label = label.copy()
+        label[m] = target[m]
+        quality += float(gain[m].sum())
+
+
+def named(label: np.ndarray) -> np.ndarray:
+    """Each community by its first node."""
+    _, first, at = np.unique(label, return_index=True, return_inverse=True)
+    return first[at]
+
+
+def solve(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, mass: np.ndarray, rate: float, bits: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Labels by first nodes; u < v without loops."""
+    both = (np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([w, w]))
+    flat = named(label)
+    while True:
+        of, (x, y, z), m, h, label = np.arange(n), both, mass, bits, flat
+        settled = True
+        while True:
+            label, changed = climb(label, x, y, z, m, rate, h)
+            settled &= not changed
+            flat = named(label[of])
+            inner = label[x] == label[y]
+            fine = named(climb(np.arange(len(m)), x[inner], y[inner], z[inner], m, rate, h)[0])
+            lead, at = np.unique(fine, return_inverse=True)
+            if len(lead) == len(m):
+                break
+            keys, back = np.unique(at[x] * len(lead) + at[y], return_inverse=True)
+            z = np.bincount(back, z, len(keys))
+            x, y = keys // len(lead), keys % len(lead)
+            x, y, z = x[x != y], y[x != y], z[x != y]
+            m, h, label, of = np.bincount(at, m), h[lead], named(label[lead]), at[of]
+        if settled:
+            return flat
+
+
+def arrays(n: int, edges: list[tuple[int, int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """u < v with summed weights, and the strength of each node (loops count twice)."""
+    e = np.array([(min(a, b), max(a, b), x) for a, b, x in edges], float).reshape(-1, 3)
+    keys, at = np.unique(e[:, 0].astype(int) * n + e[:, 1].astype(int), return_inverse=True)
+    w = np.bincount(at, e[:, 2], len(keys))
+    u, v = keys // n, keys % n
+    strength = np.bincount(u, w, n) + np.bincount(v, w, n)
+    return u[u != v], v[u != v], w[u != v], strength
+
+
+def masses(strength: np.ndarray, gamma: float, objective: str, total: float) -> tuple[np.ndarray, float]:
+    """What a community's size is measured in, and what its square costs."""
+    if objective not in ("cpm", "modularity"):
+        raise ValueError(f"unsupported objective {objective!r}")
+    return (np.ones(len(strength)), gamma) if objective == "cpm" else (strength, gamma / (2 * total) if total else 0.0)
 
 
-def leiden(n: int, edges: list[tuple[int, int, float]], gamma: float = 1.0, objective: str = "cpm", seed: int = 42, start: np.ndarray | None = None, rounds: int = 10) -> np.ndarray:
-    """Labels 0.. of the nodes, numbered by each community's first node (Traag et al. 2019)."""
-    rng = np.random.default_rng(seed)
-    g = Graph(n, edges)
-    q = Quality(g, gamma, objective)
-    of, label = np.arange(n), compact(np.arange(n) if start is None else np.asarray(start))
-    flat = label.copy()
-    for _ in range(rounds):
-        changed = move(g, q, label, rng)
-        flat = label[of]
-        if not changed and len(np.unique(label)) == g.n:
-            break
-        # Refinement: from singletons, merge only inside the communities found.
-        fine = np.arange(g.n)
-        move(g, q, fine, rng, within=label)
-        fine = compact(fine)
-        parts = int(fine.max()) + 1
-        if parts == g.n and not changed:
-            break
-        merged: dict[tuple[int, int], float] = defaultdict(float)
-        loops = np.bincount(fine, g.loops, minlength=parts)
-        for a in range(g.n):
-            for b, w in g.near[a].items():
-                if a < b:
-                    if fine[a] == fine[b]:
-                        loops[fine[a]] += w
-                    else:
-                        merged[min(fine[a], fine[b]), max(fine[a], fine[b])] += w
-        sizes = np.bincount(fine, g.sizes, minlength=parts)
-        above = np.zeros(parts, int)
-        above[fine] = label
-        of = fine[of]
-        g = Graph(parts, [(a, b, w) for (a, b), w in merged.items()], sizes, loops)
-        q = Quality(g, gamma, objective)
-        label = compact(above)
-    return ordered(flat)
-
-
-def ordered(label: np.ndarray) -> np.ndarray:
-    _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), int)
-    rank[np.argsort(first)] = np.arange(len(first))
-    return rank[inverse]
+def leiden(n: int, edges: list[tuple[int, int, float]], gamma: float = 1.0, objective: str = "cpm", seed: int = 42, start: np.ndarray | None = None) -> np.ndarray:
+    """Labels 0.. of the nodes, numbered by each community's first node (after Traag et al. 2019)."""
+    u, v, w, strength = arrays(n, edges)
+    mass, rate = masses(strength, gamma, objective, strength.sum() / 2)
+    label = solve(n, u, v, w, mass, rate, hashes(range(n), seed), np.arange(n) if start is None else np.asarray(start))
+    return np.unique(label, return_inverse=True)[1]
 
 
 def quality(n: int, edges: list[tuple[int, int, float]], label: np.ndarray, gamma: float = 1.0, objective: str = "cpm") -> float:
-    g = Graph(n, edges)
-    return Quality(g, gamma, objective).value(g, np.asarray(label))
+    """Weight inside communities less gamma for each pair of nodes in one (or what modularity expects of it)."""
+    u, v, w, strength = arrays(n, edges)
+    mass, rate = masses(strength, gamma, objective, strength.sum() / 2)
+    label = np.unique(np.asarray(label), return_inverse=True)[1]
+    loops = sum(x for a, b, x in edges if a == b)
+    return loops + value(label, *(np.concatenate(x) for x in ((u, v), (v, u), (w, w))), mass, rate) + float(rate / 2 * (mass**2).sum())
 
 
 def undirected(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -159,13 +172,13 @@ def communities(edges: DataFrame, gammas: list[float] = (1.0,), objective: str =
     A community is numbered by the rank of its least member among all least
     members. start: (name, community) to begin from.
     """
+    masses(np.zeros(0), 1.0, objective, 0.0)
     e = written(undirected(edges))
     parts = written(components(e))
-    e = e.join(parts.withColumnRenamed("name", "src"), "src")
+    e = written(e.join(parts.withColumnRenamed("name", "src"), "src"))
     sizes = e.groupBy("component").agg(F.count("*").alias("n"))
     large = written(sizes.where(F.col("n") > local_edges).select("component"))
     total = e.agg(F.sum("weight").alias("t")).first().t or 0.0
-    grid = F.explode(F.array(*(F.lit(float(g)) for g in gammas))).alias("resolution")
     rows = e.join(large, "component", "left_anti")
     if start is not None:
         labels = lambda c: start.select(F.col("name").alias(c), F.col("community").alias(f"{c}_label"))
@@ -173,30 +186,26 @@ def communities(edges: DataFrame, gammas: list[float] = (1.0,), objective: str =
     else:
         rows = rows.withColumns({c: F.lit(None).cast("long") for c in ("src_label", "dst_label")})
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([pdf["src"].to_numpy(str), pdf["dst"].to_numpy(str)]))
-        at = {x: i for i, x in enumerate(names)}
-        own = [(at[a], at[b], w) for a, b, w in zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True)]
-        gamma = float(pdf["resolution"].iloc[0])
-        first = None
-        if pdf["src_label"].notna().any() or pdf["dst_label"].notna().any():
-            first = np.arange(len(names)) + 10**9
-            for c in ("src", "dst"):
-                for x, y in zip(pdf[c], pdf[f"{c}_label"], strict=True):
-                    if not pd.isna(y):
-                        first[at[x]] = int(y)
-        # Modularity compares with the weight of the whole graph, which a component only has a part of.
-        scale = sum(w for *_, w in own) / total if objective == "modularity" else 1.0
-        label = leiden(len(names), own, gamma * scale, objective, seed, first)
-        least = [names[np.flatnonzero(label == c)[0]] for c in range(label.max() + 1)]
-        return pd.DataFrame({"resolution": gamma, "name": names, "leader": [least[c] for c in label]})
-
-    work = rows.select("*", grid)
-    solved = work.select("resolution", "component", "src", "dst", "weight", "src_label", "dst_label").groupBy("resolution", "component").applyInPandas(solve, "resolution double, name string, leader string")
-    if not large.isEmpty():
+    def solved_whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate([pdf["src"].to_numpy(str), pdf["dst"].to_numpy(str)]), return_inverse=True)
+        n, a, b = len(names), at[: len(pdf)], at[len(pdf) :]
+        u, v, w, strength = arrays(n, list(zip(a.tolist(), b.tolist(), pdf["weight"].tolist(), strict=True)))
+        begin = np.arange(n) + 2 * n
+        for ends, c in ((a, "src_label"), (b, "dst_label")):
+            known = pdf[c].notna().to_numpy()
+            if known.any():
+                begin[ends[known]] = pd.factorize(pd.concat([pdf["src_label"], pdf["dst_label"]]).dropna(), sort=True)[1].get_indexer(pdf[c][known])
+        bits, out = hashes(names, seed), []
         for gamma in gammas:
-            solved = solved.unionByName(spread(e.join(large, "component"), float(gamma), objective, seed, local_edges, total).withColumn("resolution", F.lit(float(gamma))))
-    return numbered(written(solved))
+            mass, rate = masses(strength, float(gamma), objective, total)
+            label = solve(n, u, v, w, mass, rate, bits, begin)
+            out.append(pd.DataFrame({"resolution": float(gamma), "name": names, "leader": names[label]}))
+        return pd.concat(out)
+
+    found = rows.select("component", "src", "dst", "weight", "src_label", "dst_label").groupBy("component").applyInPandas(solved_whole, "resolution double, name string, leader string")
+    if not large.isEmpty():
+        found = found.unionByName(spread(e.join(large, "component"), gammas, objective, seed, total, start))
+    return numbered(written(found))
 
 
 def numbered(solved: DataFrame) -> DataFrame:
@@ -205,55 +214,174 @@ def numbered(solved: DataFrame) -> DataFrame:
     spread_out = leaders.repartitionByRange("resolution", "leader").withColumn("part", F.spark_partition_id())
     spread_out = written(spread_out)
     counts = spread_out.groupBy("resolution", "part").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("resolution").orderBy("part")) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy("resolution", "part").orderBy("leader"))
     numbers = spread_out.withColumn("r", rank).join(before, ["resolution", "part"]).select("resolution", "leader", (F.col("before") + F.col("r") - 1).alias("community"))
     return solved.join(numbers, ["resolution", "leader"]).select("resolution", "name", F.col("community").cast("long").alias("community"))
 
 
-def spread(edges: DataFrame, gamma: float, objective: str, seed: int, local_edges: int, total: float, rounds: int = 12, levels: int = 10) -> DataFrame:
-    """(name, leader) by rounds of local moving on DataFrames, then on the graph of communities."""
-    if objective not in ("cpm", "modularity"):
-        raise ValueError(f"unsupported objective {objective!r}")
-    e = edges.select("src", "dst", "weight")
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight").where(F.col("src") != F.col("dst")))
-    mass = F.lit(1.0) if objective == "cpm" else F.sum(F.when(F.col("src") == F.col("dst"), 2 * F.col("weight")).otherwise(F.col("weight")))
-    nodes = both.groupBy(F.col("src").alias("name")).agg(F.sum("weight").alias("w"), (F.max(F.lit(1.0)) if objective == "cpm" else mass).alias("mass")).select("name", "mass")
-    rate = gamma if objective == "cpm" else gamma / (2 * total)
-    of = written(nodes.select("name", F.col("name").alias("leader")))
-    for level in range(levels):
-        label = written(nodes.select("name", "mass", F.col("name").alias("c")))
-        near = written(both.where(F.col("src") != F.col("dst")))
-        quiet = 0
-        for r in range(rounds):
-            sizes = label.groupBy("c").agg(F.sum("mass").alias("size"))
-            to = near.join(label.select(F.col("name").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("name"), "c").agg(F.sum("weight").alias("w"))
-            mine = label.select("name", "mass", F.col("c").alias("own"))
-            options = to.join(mine, "name").join(sizes, "c")
-            value = F.col("w") - rate * F.col("mass") * (F.col("size") - F.when(F.col("c") == F.col("own"), F.col("mass")).otherwise(0.0))
-            best = options.select("name", value.alias("v"), "c").groupBy("name").agg(F.max(F.struct("v", "c")).alias("best"), F.max(F.when(F.col("c") == F.lit(None), 0)).alias("_"))
-            kept = options.where(F.col("c") == F.col("own")).select("name", value.alias("stay"))
-            alone = label.join(sizes, "c").select("name", (-rate * F.col("mass") * (F.col("size") - F.col("mass"))).alias("base"))
-            active = F.pmod(F.xxhash64("name", F.lit(seed + 100 * level + r)), F.lit(2)) == 0
-            j = label.join(best.drop("_"), "name", "left").join(kept, "name", "left").join(alone, "name", "left")
-            gain = F.col("best.v") - F.coalesce("stay", "base")
-            moved = written(j.select("name", "mass", F.when(active & (gain > 1e-12), F.col("best.c")).otherwise(F.col("c")).alias("c"), (active & (gain > 1e-12) & (F.col("best.c") != F.col("c"))).alias("moved")))
-            label = moved.select("name", "mass", "c")
-            quiet = quiet + 1 if moved.where("moved").isEmpty() else 0
-            if quiet == 2:  # both halves of the nodes may stay
+def proposals(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """The best move of each node that gains: (resolution, id, mass, bits, label, target, gain). nodes: (resolution, id, mass, bits, rate, label); edges both ways, without loops, of all resolutions or with a column resolution."""
+    by = ["resolution"] if "resolution" in edges.columns else []
+    heavy = nodes.groupBy("resolution", "label").agg(F.sum("mass").alias("heavy"), F.count("*").alias("members"))
+    near = edges.join(nodes.select("resolution", F.col("id").alias("dst"), F.col("label").alias("c")), [*by, "dst"])
+    near = near.groupBy("resolution", F.col("src").alias("id"), "c").agg(F.sum("weight").alias("to"))
+    node = nodes.join(heavy, ["resolution", "label"])
+    opened = heavy.where(F.col("label") >= n).select("resolution", (F.col("label") - n).alias("id"), F.lit(True).alias("opened"))
+    stay = F.round(-F.col("rate") * F.col("mass") * (F.col("heavy") - F.col("mass")), DIGITS)
+    node = node.join(opened, ["resolution", "id"], "left").select("resolution", "id", "mass", "bits", "rate", "label", stay.alias("stay"), ((F.col("members") > 1) & F.col("opened").isNull()).alias("free"))
+    options = near.join(node.select("resolution", "id", "mass", "rate", "label"), ["resolution", "id"]).join(heavy.select("resolution", F.col("label").alias("c"), "heavy"), ["resolution", "c"])
+    own = F.col("c") == F.col("label")
+    worth = F.round(F.col("to") - F.col("rate") * F.col("mass") * (F.col("heavy") - F.when(own, F.col("mass")).otherwise(0.0)), DIGITS)
+    options = options.groupBy("resolution", "id").agg(F.max(F.when(own, worth)).alias("own"), F.max(F.when(~own, F.struct(worth.alias("v"), (-F.col("c")).alias("c")))).alias("best"))
+    j = node.join(options, ["resolution", "id"], "left")
+    alone = F.col("free") & (F.coalesce(F.col("best.v"), F.lit(-1.0)) < 0)
+    j = j.withColumn("target", F.when(alone, F.col("id") + n).otherwise(-F.col("best.c")))
+    gain = F.round(F.when(alone, 0.0).otherwise(F.col("best.v")) - F.coalesce("own", "stay"), DIGITS)
+    return j.withColumn("gain", gain).where(F.col("gain") > LEAST).select("resolution", "id", "mass", "bits", "label", "target", "gain")
+
+
+def qualities(nodes: DataFrame, edges: DataFrame) -> dict[float, float]:
+    """Quality of each resolution, up to a constant."""
+    by = ["resolution"] if "resolution" in edges.columns else []
+    end = lambda c, x: nodes.select("resolution", F.col("id").alias(c), F.col("label").alias(x))
+    inside = edges.join(end("src", "a"), [*by, "src"]).join(end("dst", "b"), ["resolution", "dst"]).where(F.col("a") == F.col("b")).groupBy("resolution").agg(F.sum("weight").alias("w"))
+    cost = nodes.groupBy("resolution", "label").agg(F.sum("mass").alias("m"), F.max("rate").alias("rate")).groupBy("resolution").agg(F.sum(F.col("rate") / 2 * F.col("m") * F.col("m")).alias("cost"))
+    return {r.resolution: (r.w or 0.0) / 2 - r.cost for r in cost.join(inside, "resolution", "left").collect()}  # a row for each resolution
+
+
+def climbed(nodes: DataFrame, edges: DataFrame, n: int) -> tuple[DataFrame, set[float]]:
+    """``climb`` on DataFrames: nodes with their last labels, and the resolutions in which one moved."""
+    quality, changed, r = qualities(nodes, edges), set(), 0
+    while True:
+        moves = written(proposals(nodes, edges, n))
+        open_ones = {x.resolution for x in moves.select("resolution").distinct().collect()}
+        if not open_ones:
+            return nodes, changed
+        changed |= open_ones
+        active = F.shiftright("bits", r % BITS).bitwiseAND(F.lit(1)) == 1
+        made = lambda m: nodes.join(m.select("resolution", "id", "target"), ["resolution", "id"], "left").withColumn("label", F.coalesce("target", "label")).drop("target")
+        batch = moves.where(active)
+        new = written(made(batch))
+        better = qualities(new, edges)
+        good = [q for q in open_ones if better[q] > quality[q] + LEAST]
+        quality |= {q: better[q] for q in good}
+        rest = moves.where(~F.col("resolution").isin(good)) if good else moves
+        if len(good) < len(open_ones):
+            rank = F.struct("gain", (-F.col("bits")).alias("b"), (-F.col("id")).alias("i"))
+            sides = rest.select("resolution", F.explode(F.array("label", "target")).alias("c"), rank.alias("rank")).groupBy("resolution", "c").agg(F.max("rank").alias("most"))
+            side = lambda c: sides.select("resolution", F.col("c").alias(c), F.col("most").alias(f"{c}_most"))
+            apart = rest.withColumn("rank", rank).join(side("label"), ["resolution", "label"]).join(side("target"), ["resolution", "target"]).where((F.col("rank") == F.col("label_most")) & (F.col("rank") == F.col("target_most")))
+            apart = written(apart.select("resolution", "id", "target", "gain"))
+            for x in apart.groupBy("resolution").agg(F.sum("gain").alias("g")).collect():
+                quality[x.resolution] += x.g
+            nodes = written(made(batch.where(F.col("resolution").isin(good)).select("resolution", "id", "target").unionByName(apart.drop("gain"))))
+        else:
+            nodes = new
+        r += 1
+
+
+def spread(edges: DataFrame, gammas: list[float], objective: str, seed: int, total: float, start: DataFrame | None) -> DataFrame:
+    """(resolution, name, leader): ``solve`` on DataFrames, for all resolutions and components at once.
+
+    Each pair of them is a problem of its own, with its own number in the column
+    resolution; there are few, as these components are large.
+    """
+    names = edges.select("component", F.explode(F.array("src", "dst")).alias("name")).distinct()
+    ids = written(numbered(names.select(F.lit(0).alias("resolution"), "name", F.col("name").alias("leader"))).select("name", F.col("community").alias("id")))
+    n = ids.count()
+    end = lambda c, x: ids.select(F.col("name").alias(c), F.col("id").alias(x))
+    e = edges.join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("a", "b", "weight")
+    flat = written(e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")))
+    strength = flat.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("strength"))
+    both = written(flat.where(F.col("src") != F.col("dst")))
+    grid = F.array(*(F.lit(float(g)) for g in gammas))
+    mass = F.lit(1.0) if objective == "cpm" else F.col("strength")
+    base = names.join(ids, "name").join(strength, "id").select("component", "name", "id", hashed(F.col("name"), seed).alias("bits"), mass.alias("mass"))
+    if start is not None:
+        base = base.join(start.select("name", "community"), "name", "left")
+        least = base.where(F.col("community").isNotNull()).groupBy("component", "community").agg(F.min("id").alias("first"))
+        base = base.join(least, ["component", "community"], "left").select("component", "id", "bits", "mass", F.coalesce("first", "id").alias("label"))
+    else:
+        base = base.select("component", "id", "bits", "mass", F.col("id").alias("label"))
+    base = base.join(base.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", "bits", "mass", "label", "least", F.posexplode(grid).alias("g", "gamma"))
+    base = written(base.select((F.col("least") * len(gammas) + F.col("g")).alias("resolution"), "id", "bits", "mass", "label", (F.col("gamma") if objective == "cpm" else F.col("gamma") / F.lit(2 * total or 1.0)).alias("rate")))
+    by_first = lambda x: x.join(x.groupBy("resolution", "label").agg(F.min("id").alias("first")), ["resolution", "label"]).withColumn("label", F.col("first")).drop("first")
+    done = None
+    left = {x.resolution for x in base.select("resolution").distinct().collect()}
+    while left:
+        nodes, level, of, settled = base, both, base.select("resolution", "id", F.col("id").alias("node")), set(left)
+        live = set(left)
+        while live:
+            nodes, moved = climbed(nodes, level, n)
+            settled -= moved
+            nodes = written(by_first(nodes))
+            at = nodes.select("resolution", F.col("id").alias("node"), "label")
+            result = written(of.join(at, ["resolution", "node"]).select("resolution", "id", "node", "label"))
+            # Refinement: the same rounds from single nodes, over edges inside communities.
+            by = ["resolution"] if "resolution" in level.columns else []
+            side = lambda c, x, nodes=nodes: nodes.select("resolution", F.col("id").alias(c), F.col("label").alias(x))
+            inner = level.join(side("src", "x"), [*by, "src"]).join(side("dst", "y"), ["resolution", "dst"]).where(F.col("x") == F.col("y"))
+            inner = written(inner.select("resolution", "src", "dst", "weight"))
+            fine, _ = climbed(written(nodes.withColumn("label", F.col("id"))), inner, n)
+            fine = written(by_first(fine).select("resolution", "id", F.col("label").alias("lead")))
+            merged = {r.resolution for r in fine.where(F.col("id") != F.col("lead")).select("resolution").distinct().collect()}
+            live &= merged
+            if not live:
                 break
-        named = label.groupBy("c").agg(F.min("name").alias("leader"), F.sum("mass").alias("mass"))
-        to_leader = written(label.join(named.select("c", "leader"), "c").select("name", "leader"))
-        of = written(of.join(to_leader.select(F.col("name").alias("leader"), F.col("leader").alias("next")), "leader").select("name", F.col("next").alias("leader")))
-        end = lambda c: to_leader.select(F.col("name").alias(c), F.col("leader").alias(f"{c}2"))
-        merged = written(both.join(end("src"), "src").join(end("dst"), "dst").groupBy(F.col("src2").alias("src"), F.col("dst2").alias("dst")).agg(F.sum("weight").alias("weight")))
-        fewer = named.count() < label.count()
-        both, nodes = merged, written(named.select(F.col("leader").alias("name"), "mass"))
-        if not fewer or nodes.count() <= 1:
-            break
-    return of
+            part = lambda c, x, fine=fine: fine.select("resolution", F.col("id").alias(c), F.col("lead").alias(x))
+            level = written(level.join(part("src", "x"), [*by, "src"]).join(part("dst", "y"), ["resolution", "dst"]).where(F.col("x") != F.col("y")).groupBy("resolution", F.col("x").alias("src"), F.col("y").alias("dst")).agg(F.sum("weight").alias("weight")))
+            grown = nodes.join(fine, ["resolution", "id"])
+            heavy = grown.groupBy("resolution", "lead").agg(F.sum("mass").alias("mass"))
+            nodes = grown.where(F.col("id") == F.col("lead")).drop("mass").join(heavy, ["resolution", "lead"])
+            nodes = written(by_first(nodes.select("resolution", "id", "bits", "rate", "mass", "label")))
+            of = written(of.join(fine.select("resolution", F.col("id").alias("node"), "lead"), ["resolution", "node"]).select("resolution", "id", F.col("lead").alias("node")))
+        base = written(by_first(base.drop("label").join(result.select("resolution", "id", "label"), ["resolution", "id"])))
+        ended = base.where(F.col("resolution").isin(list(settled))) if settled else None
+        if ended is not None:
+            done = ended if done is None else done.unionByName(ended)
+            left -= settled
+            base = written(base.where(~F.col("resolution").isin(list(settled))))
+    real = F.element_at(grid, (F.col("resolution") % len(gammas) + 1).cast("int")).alias("resolution")
+    out = done.join(ids, "id").select(real, "name", "label")
+    return out.join(ids.select(F.col("id").alias("label"), F.col("name").alias("leader")), "label").select("resolution", "name", "leader")
+
+
+def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """(resolution, modularity) of memberships (resolution, name, community): the share of weight inside less what strengths alone would give, times the resolution."""
+    e = undirected(edges)
+    end = lambda c, x: membership.select("resolution", F.col("name").alias(c), F.col("community").alias(x))
+    inside = e.join(end("src", "a"), "src").join(end("dst", "b"), ["resolution", "dst"]).groupBy("resolution").agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("total"))
+    strength = e.select(F.explode(F.array("src", "dst")).alias("name"), "weight").groupBy("name").agg(F.sum("weight").alias("s"))
+    volumes = membership.join(strength, "name").groupBy("resolution", "community").agg(F.sum("s").alias("v")).groupBy("resolution").agg(F.sum(F.col("v") * F.col("v")).alias("squares"))
+    return inside.join(volumes, "resolution").select("resolution", (F.col("inside") / F.col("total") - F.col("resolution") * F.col("squares") / (4 * F.col("total") * F.col("total"))).alias("modularity"))
+
+
+def combo(edges: DataFrame, gammas: list[float] = (1.0,), **options) -> tuple[DataFrame, DataFrame]:
+    """Modularity optimised by moves, merges and splits of whole communities, and the modularity reached: (membership, (resolution, modularity))."""
+    found = written(communities(edges, gammas, "modularity", **options))
+    return found, modularity(edges, found)
+
+
+def unsettled(edges: DataFrame, membership: DataFrame, objective: str = "cpm") -> DataFrame:
+    """(resolution, n_nodes, n_moves, n_across): nodes, moves of single nodes that would raise the quality, and communities that span components. The last two are 0 in every result of ``communities``."""
+    e = written(undirected(edges))
+    total = e.agg(F.sum("weight").alias("t")).first().t or 1.0
+    names = e.select(F.explode(F.array("src", "dst")).alias("name")).distinct().select(F.lit(0).alias("resolution"), "name", F.col("name").alias("leader"))
+    ids = written(numbered(written(names)).select("name", F.col("community").alias("id")))
+    n = ids.count()
+    end = lambda c, x: ids.select(F.col("name").alias(c), F.col("id").alias(x))
+    one = e.join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("a", "b", "weight")
+    flat = written(one.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(one.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight")))
+    strength = flat.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("strength"))
+    mass, rate = (F.lit(1.0), F.col("resolution")) if objective == "cpm" else (F.col("strength"), F.col("resolution") / F.lit(2 * total))
+    nodes = membership.join(ids, "name").join(strength, "id")
+    first = nodes.groupBy("resolution", "community").agg(F.min("id").alias("label"))
+    nodes = written(nodes.join(first, ["resolution", "community"]).select("resolution", "name", "community", "id", mass.alias("mass"), F.lit(0).cast("long").alias("bits"), rate.alias("rate"), "label"))
+    moves = proposals(nodes, flat.where(F.col("src") != F.col("dst")), n).groupBy("resolution").agg(F.count("*").alias("n_moves"))
+    across = nodes.join(components(e), "name").groupBy("resolution", "community").agg(F.countDistinct("component").alias("k")).groupBy("resolution").agg(F.count_if(F.col("k") > 1).alias("n_across"))
+    counts = nodes.groupBy("resolution").agg(F.countDistinct("name").alias("n_nodes"))
+    return counts.join(across, "resolution").join(moves, "resolution", "left").select("resolution", "n_nodes", F.coalesce("n_moves", F.lit(0).cast("long")).alias("n_moves"), "n_across")
 
 
 def hierarchical(edges: DataFrame, membership: DataFrame, gammas: list[float], top_k: int = 500, min_size: int = 30, **options) -> DataFrame:
@@ -268,8 +396,6 @@ def hierarchical(edges: DataFrame, membership: DataFrame, gammas: list[float], t
 
 def multislice(edges: DataFrame, gammas: list[float], coupling: float = 0.1, **options) -> DataFrame:
     """(resolution, slice, name, community): all slices at once, each node tied to itself in the next slice it occurs in. edges: (slice, src, dst, weight)."""
-    from pyspark.sql import Window
-
     key = lambda c: F.concat_ws("\u0001", F.col("slice").cast("string"), F.col(c))
     inner = edges.select(key("src").alias("src"), key("dst").alias("dst"), F.col("weight").cast("double").alias("weight"))
     names = edges.select(F.col("slice").cast("string").alias("slice"), F.explode(F.array("src", "dst")).alias("name")).distinct()
@@ -309,4 +435,4 @@ def incremental(edges: DataFrame, gamma: float = 0.06, lam: float = 0.02, cap: f
     return out
 
 
-__all__ = ["communities", "hierarchical", "incremental", "leiden", "multislice", "quality", "tenure"]
+__all__ = ["combo", "communities", "hierarchical", "incremental", "leiden", "modularity", "multislice", "quality", "tenure", "unsettled"]

@@ -74,7 +74,7 @@ def centrality_summary(candidates: DataFrame, membership: DataFrame, edges: Data
     ranks = pagerank(inner.select(apart("src").alias("src"), apart("dst").alias("dst"), "weight"), rounds)
     ranks = ranks.select(F.split("name", "\u0001")[0].alias("candidate"), F.col("pagerank"))
     degrees = own.join(inner.groupBy("candidate", F.col("dst").alias("name")).agg(F.sum("weight").alias("d")), ["candidate", "name"], "left").fillna(0, ["d"])
-    between = betweenness(inner, "candidate")
+    between = betweenness(inner, "candidate").where(F.col("betweenness").isNotNull())
     out = own.groupBy("candidate").agg(F.countDistinct("name").alias("n_nodes"))
     for values, value, name in ((degrees, "d", "gini_in_degree"), (ranks, "pagerank", "gini_pagerank"), (between, "betweenness", "gini_betweenness")):
         out = out.join(gini(values, value, ("candidate",)).withColumnRenamed("gini", name), "candidate", "left")

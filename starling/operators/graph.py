@@ -108,32 +108,43 @@ def betweenness(edges: DataFrame, key: str, weight_mode: str = "distance", limit
     """(key, name, betweenness) within each group of directed edges, normalised by (n-1)(n-2).
 
     weight_mode: the weight is a distance, its inverse is one, or none. Shortest
-    paths need a group as a whole, so a group above `limit` edges is refused.
+    paths need a group's edges as a whole in a task; of a group above `limit` edges
+    the nodes have null, other groups are not touched by it.
     """
     if weight_mode not in ("distance", "inverse", "none"):
         raise ValueError(f"unsupported weight mode {weight_mode!r}")
     e = edges.groupBy(key, "src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
-    largest = e.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
-    if largest > limit:
-        raise ValueError(f"a group has {largest} edges; betweenness takes {limit} at most")
+    e = written(e)
+    sizes = written(e.groupBy(key).agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") > limit).select(key)
+    # The paths from a source are a task's work: a group's sources are dealt into parts, each of which gets the group's edges.
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(SOURCES_EDGES))).cast("int")
+    work = e.join(sizes.where(F.col("n") <= limit), key).withColumn("parts", F.least(parts, F.lit(64))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         length = {"distance": lambda w: w, "inverse": lambda w: 1.0 / w, "none": lambda w: 1.0}[weight_mode]
-        scores = brandes([(s, d, length(w)) for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True)])
+        own = (int(pdf["part"].iloc[0]), int(pdf["parts"].iloc[0]))
+        scores = brandes([(s, d, length(w)) for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True)], own)
         return pd.DataFrame({key: pdf[key].iloc[0], "name": list(scores), "betweenness": list(scores.values())})
 
-    return e.groupBy(key).applyInPandas(solve, f"{key} {dict(e.dtypes)[key]}, name string, betweenness double")
+    found = work.select(key, "src", "dst", "weight", "part", "parts").groupBy(key, "part").applyInPandas(solve, f"{key} {dict(e.dtypes)[key]}, name string, betweenness double")
+    rest = e.join(large, key).select(key, F.explode(F.array("src", "dst")).alias("name")).distinct().withColumn("betweenness", F.lit(None).cast("double"))
+    return found.groupBy(key, "name").agg(F.sum("betweenness").alias("betweenness")).unionByName(rest)
 
 
-def brandes(edges: list[tuple[str, str, float]]) -> dict[str, float]:
-    """Shortest-path betweenness of a directed graph with positive lengths (Brandes 2001)."""
+#: Edges of a group for each part that its sources are dealt into.
+SOURCES_EDGES = 500
+
+
+def brandes(edges: list[tuple[str, str, float]], part: tuple[int, int] = (0, 1)) -> dict[str, float]:
+    """Shortest-path betweenness of a directed graph with positive lengths (Brandes 2001); part (i, k): what every k-th source from i on adds."""
     out: dict[str, list[tuple[str, float]]] = defaultdict(list)
     nodes = sorted({x for s, d, _ in edges for x in (s, d)})
     for s, d, w in edges:
         if s != d:
             out[s].append((d, w))
     score = dict.fromkeys(nodes, 0.0)
-    for source in nodes:
+    for source in nodes[part[0] :: part[1]]:
         paths, dist, before = {source: 1.0}, {}, defaultdict(list)
         order, heap, best = [], [(0.0, source)], {source: 0.0}
         while heap:
@@ -161,6 +172,12 @@ def brandes(edges: list[tuple[str, str, float]]) -> dict[str, float]:
     return {v: x * scale for v, x in score.items()}
 
 
+def node_sizes(edges: DataFrame, per_edge: int = 2, least: int = 20) -> DataFrame:
+    """(name, degree, size): drawing sizes, least + per_edge * number of edges."""
+    degrees = edges.select(F.explode(F.array("src", "dst")).alias("name")).groupBy("name").agg(F.count("*").alias("degree"))
+    return degrees.withColumn("size", per_edge * F.col("degree") + least)
+
+
 def scaled_widths(edges: DataFrame, low: float = 0.2, span: float = 2.8) -> DataFrame:
     """Drawing widths: low + span * weight / largest weight."""
     most = edges.agg(F.max("weight").alias("most")).withColumn("one", F.lit(1))

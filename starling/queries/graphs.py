@@ -8,6 +8,7 @@ from .. import bindings as B
 from ..operators import community as C
 from ..operators import edges as E
 from ..operators import graph as G
+from ..plans.checkpoint import written
 from ..schemas import Relation
 from .build import ALL_SQL
 from .registry import query, rounded
@@ -60,9 +61,8 @@ def scaled_widths(spark, sf):
 
 @query()
 def betweenness(spark, sf):
-    g = retweets(spark, sf).withColumn("community", F.expr("CAST(substr(src, 3) AS BIGINT) % 4"))
-    same = g.where(F.expr("CAST(substr(dst, 3) AS BIGINT) % 4") == F.col("community"))
-    return rounded(G.betweenness(same, "community"), "betweenness", digits=9)
+    """Of the whole graph, as one group."""
+    return rounded(G.betweenness(retweets(spark, sf).withColumn("community", F.lit(0)), "community"), "betweenness", digits=9)
 
 
 @query()
@@ -75,6 +75,46 @@ def leiden_modularity(spark, sf):
     return C.communities(retweets(spark, sf), [1.0], "modularity")
 
 
+def facts_sql(resolutions: list[float], graph: str = RT) -> str:
+    """Each node once, no move of a node that gains, no community across components."""
+    grid = ", ".join(f"({r}::DOUBLE)" for r in resolutions)
+    return f"WITH {graph}, v AS (SELECT src AS name FROM g UNION SELECT dst FROM g) SELECT resolution, count(*) AS n_nodes, CAST(0 AS BIGINT) AS n_moves, CAST(0 AS BIGINT) AS n_across FROM v, (VALUES {grid}) x(resolution) GROUP BY resolution"
+
+
+@query(facts_sql([0.1, 0.5, 1.0]))
+def leiden_cpm_settled(spark, sf):
+    g = written(retweets(spark, sf))
+    return C.unsettled(g, C.communities(g, [0.1, 0.5, 1.0]))
+
+
+@query(facts_sql([1.0]))
+def leiden_modularity_settled(spark, sf):
+    g = written(retweets(spark, sf))
+    return C.unsettled(g, C.communities(g, [1.0], "modularity"), "modularity")
+
+
+@query(f"""WITH {RT}, p AS (SELECT 1.0::DOUBLE AS resolution, 'u:' || user_id AS name, user_id % 7 AS community FROM (SELECT DISTINCT user_id FROM events)),
+m AS (SELECT sum(weight)::DOUBLE AS m FROM g), i AS (SELECT sum(weight)::DOUBLE AS inside FROM g JOIN p a ON src = a.name JOIN p b ON dst = b.name WHERE a.community = b.community),
+s AS (SELECT name, sum(weight)::DOUBLE AS s FROM (SELECT src AS name, weight FROM g UNION ALL SELECT dst, weight FROM g) GROUP BY name),
+v AS (SELECT sum(v * v) AS squares FROM (SELECT sum(s) AS v FROM s JOIN p USING (name) GROUP BY community))
+SELECT 1.0::DOUBLE AS resolution, round(inside / m - squares / (4 * m * m), 9) AS modularity FROM m, i, v""")
+def modularity_of_labels(spark, sf):
+    labels = B.table(spark, sf, "events").select(F.lit(1.0).alias("resolution"), F.concat(F.lit("u:"), F.col("user_id")).alias("name"), (F.col("user_id") % 7).alias("community")).distinct()
+    return rounded(C.modularity(retweets(spark, sf), labels), "modularity", digits=9)
+
+
+@query()
+def combo(spark, sf):
+    """The modularity that communities reach at three resolutions."""
+    return C.combo(written(retweets(spark, sf)), [0.5, 1.0, 2.0])[1]
+
+
+@query(f"""WITH {RT}, w AS (SELECT src, dst, weight FROM g), d AS (SELECT name, count(*) AS degree FROM (SELECT src AS name FROM w UNION ALL SELECT dst FROM w) GROUP BY name)
+SELECT name, degree, 2 * degree + 20 AS size FROM d""")
+def node_sizes(spark, sf):
+    return G.node_sizes(retweets(spark, sf))
+
+
 @query()
 def leiden_hierarchical(spark, sf):
     g = retweets(spark, sf)

@@ -90,6 +90,22 @@ def leiden_incremental(spark, sf):
     return C.incremental(T.weekly_slices(g), 0.3, 0.05, 0.5)
 
 
+def per_slice_sql(relations: str) -> str:
+    return f"""WITH {ALL_SQL}, g AS (SELECT strftime(created_at, '%G-W%V') AS slice, src, dst FROM raw WHERE rel IN ({relations})), v AS (SELECT slice, src AS name FROM g UNION SELECT slice, dst FROM g)
+SELECT slice, count(*) AS n_rows, count(*) AS n_nodes FROM v GROUP BY slice"""
+
+
+@query(per_slice_sql("0, 4"))
+def leiden_incremental_nodes(spark, sf):
+    """Each node of a slice has one label in it."""
+    return leiden_incremental(spark, sf).groupBy("slice").agg(F.count("*").alias("n_rows"), F.countDistinct("name").alias("n_nodes"))
+
+
+@query(per_slice_sql("0"))
+def leiden_multislice_nodes(spark, sf):
+    return leiden_multislice(spark, sf).groupBy("slice").agg(F.count("*").alias("n_rows"), F.countDistinct("name").alias("n_nodes"))
+
+
 @query()
 def leiden_multislice(spark, sf):
     g = E.edges(B.posts(spark, sf), [Relation.RETWEET], method="week")

@@ -67,9 +67,43 @@ def test_two_cliques(spark, objective):
     assert {(r.name[0], r.community) for r in got.collect()} == {("a", 0), ("b", 1)}
 
 
-def test_distributed_rounds_find_the_cliques(spark):
-    got = C.communities(spark.createDataFrame(cliques(), E), [0.5], local_edges=3)
-    assert {(r.name[0], r.community) for r in got.collect()} == {("a", 0), ("b", 1)}
+def random_edges(seed, n=60):
+    rng = np.random.default_rng(seed)
+    return [(f"n{a:02d}", f"n{b:02d}", int(rng.integers(1, 4))) for a in range(n) for b in range(n) if a != b and rng.random() < (0.12 if a % 5 == b % 5 else 0.01)]
+
+
+@pytest.mark.parametrize(("objective", "gammas", "warm"), [("cpm", [0.1, 0.5], True), ("modularity", [1.0], False)])
+def test_where_a_component_is_solved_does_not_show(spark, objective, gammas, warm):
+    own = [*random_edges(4, 24), *cliques(4)]
+    e = spark.createDataFrame(own, E)
+    start = spark.createDataFrame([(f"n{i:02d}", i % 7) for i in range(0, 24, 2)], "name string, community long") if warm else None
+    whole = C.communities(e, gammas, objective, start=start)
+    assert rows(C.communities(e, gammas, objective, start=start, local_edges=0)) == rows(whole)
+    n = len({x for s, d, _ in own for x in (s, d)})
+    assert {(r.n_nodes, r.n_moves, r.n_across) for r in C.unsettled(e, whole, objective).collect()} == {(n, 0, 0)}
+    singles = whole.selectExpr("resolution", "name", "1L AS community")
+    assert {r.n_moves > 0 for r in C.unsettled(e, singles, objective).collect()} == {True}
+
+
+def test_a_start_that_is_best_already_stays(spark):
+    e = spark.createDataFrame(cliques(), E)
+    start = spark.createDataFrame([(f"{c}{i}", 5 if c == "a" else 3) for c in "ab" for i in range(5)], "name string, community long")
+    for local in (0, 10**6):
+        assert {(r.name[0], r.community) for r in C.communities(e, [0.5], start=start, local_edges=local).collect()} == {("a", 0), ("b", 1)}
+
+
+def test_hashes_agree(spark):
+    names = ["a", "é", "n01", "x" * 100]
+    df = spark.createDataFrame([(x,) for x in names], "name string")
+    assert [r[0] for r in df.select(C.hashed(df.name, 42)).collect()] == C.hashes(names, 42).tolist()
+
+
+def test_modularity_of_two_cliques(spark):
+    found, reached = C.combo(spark.createDataFrame(cliques(), E), [1.0])
+    e = [("ab".index(s[0]) * 5 + int(s[1]), "ab".index(d[0]) * 5 + int(d[1]), float(w)) for s, d, w in cliques()]
+    m = sum(w for *_, w in e)
+    assert reached.first().modularity == pytest.approx(20 / m - 2 * (m / (2 * m)) ** 2)
+    assert found.count() == 10
 
 
 def test_leiden_reaches_the_optimum_of_small_graphs():
@@ -137,3 +171,13 @@ def test_incremental_query_takes_every_week(spark):
     weeks = {r.week for r in QUERIES["week_label"](spark, sf).select("week").distinct().collect()}
     got = {r.slice for r in QUERIES["leiden_incremental"](spark, sf).select("slice").distinct().collect()}
     assert len(weeks) > 4 and got == weeks
+
+
+def test_betweenness_of_parts_and_of_a_group_above_the_limit(spark, monkeypatch):
+    e = spark.createDataFrame([(g, f"{g}{a}", f"{g}{b}", 1 + (a + b) % 3) for g, n in (("s", 6), ("t", 9)) for a in range(n) for b in range(n) if a != b and (a * b + a) % 3], "community string, src string, dst string, weight long")
+    whole = {(r.community, r.name): r.betweenness for r in G.betweenness(e, "community").collect()}
+    monkeypatch.setattr(G, "SOURCES_EDGES", 4)
+    parts = {(r.community, r.name): r.betweenness for r in G.betweenness(e, "community").collect()}
+    assert parts == pytest.approx(whole)
+    some = {(r.community, r.name): r.betweenness for r in G.betweenness(e, "community", limit=30).collect()}
+    assert {k for k, v in some.items() if v is None} == {k for k in whole if k[0] == "t"} and all(some[k] == pytest.approx(whole[k]) for k in whole if k[0] == "s")
