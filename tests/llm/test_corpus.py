@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,9 +10,14 @@ from starling.llm import components, extract, mixing, similarity, topk, toxicity
 D = "doc_id long, text string, source string, n long, component_id string"
 
 
+def plain_shingles(text, k):
+    """Distinct tuples of k words; fewer words are one."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
+
+
 def brute_groups(rows, k, num, den):
-    shingles = similarity.Shingler(k)
-    sets = [set(shingles(t).tolist()) for _, t in rows]
+    sets = [plain_shingles(t, k) for _, t in rows]
     group = list(range(len(rows)))
 
     def root(x):
@@ -54,6 +60,19 @@ def test_join_equals_brute_force(spark, copies, k, num):
     assert sorted(map(tuple, similarity.groups(df, k, num, 100).collect())) == brute_groups(copies, k, num, 100)
 
 
+def test_shingles_equal_plain_tuples():
+    rng = random.Random(9)
+    texts = [None, "", " ", "\x0b a\x0cB", "É é E e", "a\u00a0b a\u2003b c", "x" * 10_000, "one two", "A a A a A a a"]
+    texts += ["".join(rng.choice("aAbBé \t\n\r") for _ in range(60)) for _ in range(300)]
+    for k in (1, 3, 5):
+        own = similarity.Shingler(k)
+        sets = [own(t) for t in texts]
+        plain = [plain_shingles(t, k) for t in texts]
+        assert [len(s) for s in sets] == [len(p) for p in plain]
+        for i in range(0, len(texts), 7):
+            assert [len(np.intersect1d(sets[i], s)) for s in sets] == [len(plain[i] & p) for p in plain]
+
+
 def test_boundary_follows_cost_and_both_sides_agree(copies):
     rule = similarity.Rule(90, 100)
     assert rule.boundary({12: 1000}, 0.5) >= 12 and rule.boundary({300: 1000}, 0.5) == 0

@@ -10,17 +10,18 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from starling.llm import extract, pii, similarity, toxicity
+from starling.llm import extract, pii, toxicity
 from starling.llm.queries import word_tokenizer
 from starling.llm.tokens import WordEncoder
 
+from test_corpus import plain_shingles
+
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
 
 
 def one_of_each_group(rows, k, num, den):
-    shingles = similarity.Shingler(k)
-    sets = [set(shingles(r.text).tolist()) for r in rows]
+    sets = [plain_shingles(r.text, k) for r in rows]
     group = list(range(len(rows)))
 
     def root(x):
