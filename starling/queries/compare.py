@@ -256,6 +256,15 @@ def top_tags(spark, sf):
     return tags_of_candidates(spark, sf).select("resolution", "community", "tag", "tag_text", "count", "rank")
 
 
+@query(f"WITH {TOP_TAGS} SELECT resolution, community, tag, CASE WHEN tag_text LIKE 'k%' THEN tag_text ELSE 'N/A' END AS tag_text, count, rank FROM tt WHERE rank <= 20")
+def top_tags_named(spark, sf):
+    """With the texts of a tag dictionary that lacks some tags."""
+    tags, members = inputs(spark, sf)
+    chosen = candidates(tags, members).select("resolution", F.col("source_comm_id").alias("community"))
+    names = E.node_map(B.posts(spark, sf)).where(F.col("original").startswith("k") & (F.col("map_type") == 3)).select(F.col("node").alias("tag"), F.col("original").alias("tag_text"))
+    return funnel.top_tags(chosen, B.graph(members, "R"), tags, names, n=20).select("resolution", "community", "tag", "tag_text", "count", "rank")
+
+
 @query(f"WITH {TOP_TAGS} SELECT resolution, community, CAST(sum(CASE WHEN regexp_matches(tag_text, '(?i)ERR|view') THEN count ELSE 0 END) AS BIGINT) AS matching FROM tt WHERE rank <= 20 GROUP BY ALL HAVING matching >= 10")
 def keyword_candidates(spark, sf):
     return funnel.keyword_candidates(tags_of_candidates(spark, sf), ["ERR", "view"], 10)
