@@ -57,7 +57,8 @@ OUT_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold running text, so are no slots by themselves.
 TEXT_LEVEL = HEADINGS | frozenset("p li dt dd tr td th pre blockquote figcaption caption address".split()) | INLINE
-NUMBER = re.compile("[0-9]+")
+#: Numbers of three digits or more name a page, shorter ones a part of the design.
+NUMBER = re.compile("[0-9]{3,}")
 #: An opening of the same kind (or one named) ends the open one.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("article main section div ul ol dl table body html aside nav header footer form".split())
@@ -177,7 +178,7 @@ class Page:
 
 
 def labelled(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's label (tag and first class word, numbers in it being alike) and whether it stands outside the article."""
+    """The element's label (tag and first class word, long numbers in it being alike) and whether it stands outside the article."""
     out, first = tag in OUT, ""
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):

@@ -65,8 +65,8 @@ def test_copies_keep_their_text(spark):
     assert {got[200 + i] for i in range(3)} == {f"{first}\nOnly here\n{rest}"}
 
 
-def test_numbered_classes_are_one_element(spark):
-    rows = [(i, f"http://a.test/{i}", f"<body><div class=teaser{i}>Read also {'x' * i}</div><div class=post-{i}><h1>Name {i}</h1><p>{'long text ' * 20}{i}</p><p>more {i}</p></div></body>") for i in range(4)]
+def test_numbers_of_pages_in_classes_are_alike(spark):
+    rows = [(i, f"http://a.test/{i}", f"<body><div class=teaser{i + 10}>Read also {'x' * i}</div><div class=post-{i + 4711}><h1>Name {i}</h1><p>{'long text ' * 20}{i}</p><p>more {i}</p></div></body>") for i in range(4)]
     assert texts(spark, rows) == {i: f"Name {i}\n{('long text ' * 20)}{i}\nmore {i}" for i in range(4)}
 
 
