@@ -181,3 +181,18 @@ def test_betweenness_of_parts_and_of_a_group_above_the_limit(spark, monkeypatch)
     assert parts == pytest.approx(whole)
     some = {(r.community, r.name): r.betweenness for r in G.betweenness(e, "community", limit=30).collect()}
     assert {k for k, v in some.items() if v is None} == {k for k in whole if k[0] == "t"} and all(some[k] == pytest.approx(whole[k]) for k in whole if k[0] == "s")
+
+
+def test_modularity_needs_few_rounds(monkeypatch):
+    """Random edges: big communities, so moves that share none are few."""
+    rng = np.random.default_rng(6)
+    calls, old = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or old(*a, **k))
+    n = 600
+    u, v, w, s = C.columns(n, rng.integers(0, n, 8000), rng.integers(0, n, 8000), np.ones(8000))
+    mass, rate = C.masses(s, 1.0, "modularity", s.sum() / 2)
+    order = np.argsort(np.concatenate([u, v]), kind="stable")
+    both = [np.concatenate(x)[order] for x in ((u, v), (v, u), (w, w))]
+    calls.clear()
+    C.climb(np.arange(n), *both, mass, rate, C.hashes(range(n), 42))
+    assert len(calls) < 1000
