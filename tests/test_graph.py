@@ -183,6 +183,24 @@ def test_betweenness_of_parts_and_of_a_group_above_the_limit(spark, monkeypatch)
     assert {k for k, v in some.items() if v is None} == {k for k in whole if k[0] == "t"} and all(some[k] == pytest.approx(whole[k]) for k in whole if k[0] == "s")
 
 
+def test_betweenness_by_levels_is_brandes():
+    rng = np.random.default_rng(5)
+    for top in (1, 3):
+        edges = sorted({(int(a), int(b)): float(rng.integers(1, top + 1)) for a, b in rng.integers(0, 30, (120, 2))}.items())
+        ids = {x: i for i, x in enumerate(sorted({x for e, _ in edges for x in e}))}
+        rows = [(ids[a], ids[b], w) for (a, b), w in edges]
+        want = G.brandes(rows)
+        columns = [np.array(c) for c in zip(*rows, strict=True)]
+        assert sum(G.by_levels(*columns, (i, 3)) for i in range(3)) == pytest.approx([want[i] for i in range(len(want))])
+    assert G.by_levels(*columns[:2], 1 / np.sqrt(1 + np.arange(len(rows)))) is None
+
+
+def test_betweenness_has_no_cap_of_its_own():
+    import inspect
+
+    assert inspect.signature(G.betweenness).parameters["limit"].default is None
+
+
 def test_modularity_needs_few_rounds(monkeypatch):
     """Random edges: big communities, so moves that share none are few."""
     rng = np.random.default_rng(6)
