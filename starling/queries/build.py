@@ -30,6 +30,10 @@ raw AS (
 )"""
 
 
+#: Rows of a table for each part where a step needs parts of a bounded size.
+ROWS_A_PART = 1_000_000
+
+
 def one_relation(rel: int) -> str:
     return f"WITH {ALL_SQL} SELECT CAST(rel AS INTEGER) AS rel, src, dst, count(*) AS weight FROM raw WHERE rel = {rel} GROUP BY ALL"
 
@@ -78,9 +82,14 @@ FROM ranked a JOIN ranked b ON a.l_orderkey = b.l_orderkey AND a.l_partkey::VARC
 """)
 def tag_cooccurrence(spark, sf):
     """Parts bought together, as tags of an order."""
-    baskets = B.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("tags"))
-    rows = baskets.select(F.explode(scalar.pairs("tags", distinct=True)).alias("p"))
-    return rows.groupBy(F.concat(F.lit("h:"), F.col("p.a")).alias("src"), F.concat(F.lit("h:"), F.col("p.b")).alias("dst")).agg(F.count("*").alias("weight"))
+    rows = B.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    # Parts of a fixed number of rows: a task's memory does not grow with the table. Pairs stay numbers until they are counted.
+    parts = max(1, -(-rows.count() // ROWS_A_PART))
+    baskets = rows.repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("tags"))
+    kind = dict(rows.dtypes)["l_partkey"]
+    both = baskets.select(F.explode(scalar.pairs("tags", distinct=True)).alias("p")).select(F.col("p.a").cast(kind).alias("a"), F.col("p.b").cast(kind).alias("b"))
+    counted = both.repartition(4 * parts, "a", "b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    return counted.select(F.concat(F.lit("h:"), F.col("a")).alias("src"), F.concat(F.lit("h:"), F.col("b")).alias("dst"), "weight")
 
 
 @query(f"WITH {P} SELECT 1 AS rel, 't:' || id AS src, 't:' || rt_id AS dst, epoch_us(created_at) / 1e6 AS t_src, epoch_us(rt_at) / 1e6 AS t_dst FROM posts WHERE rt_id IS NOT NULL")
