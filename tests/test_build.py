@@ -122,3 +122,13 @@ def test_tenure_breaks_on_gaps(spark):
 def test_surrogates_are_distinct_and_unsigned_on_demand(spark):
     r = spark.range(200).select(scalar.surrogate(F.col("id").cast("string")).alias("s"), scalar.surrogate(F.col("id").cast("string"), True).alias("u")).collect()
     assert len({x.s for x in r}) == 200 and all(int(x.u) == x.s % 2**64 for x in r)
+
+
+def test_pairs_are_counted_in_parts_that_follow_the_table(spark, monkeypatch):
+    from starling.queries import QUERIES, build
+
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, QUERIES["tag_cooccurrence"](spark, sf).collect()))
+    monkeypatch.setattr(build, "ROWS_A_PART", 1000)
+    parts = QUERIES["tag_cooccurrence"](spark, sf)
+    assert parts.rdd.getNumPartitions() == 24 and sorted(map(tuple, parts.collect())) == whole
